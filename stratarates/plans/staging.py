@@ -1,0 +1,40 @@
+"""Write a small aggregate once instead of recomputing it per branch.
+
+A rate analysis uses its aggregated cells in many branches (shares,
+reallocation, populations, standards, totals).  Catalyst pushes each branch's
+filters and columns down to the scan, which makes the branches' plans differ and
+would read the big table once per branch.  Writing the cells (strata x years x
+units rows) to the shared checkpoint folder reads it exactly once, survives the
+loss of any executor, and gives later joins the true size of the table.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local_roots: dict[str, str] = {}
+
+
+def stage_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session.  Only a local-mode session that
+    names none gets a temporary folder; a cluster session must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="stratarates-")
+    return _local_roots[context.applicationId]
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Materialise ``df`` as Parquet under the checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1 @@
+"""Intentionally empty: every source of these analyses is a bounded scan."""
