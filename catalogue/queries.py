@@ -126,7 +126,8 @@ def drop_meta_rows(spark, sf):
 
 @query
 def select_contains(spark, sf):
-    kept = select_containing(_sheet(spark, sf), ["female"], ["...1"])
+    body = drop_metadata_rows(_sheet(spark, sf), "...1")
+    kept = select_containing(body, ["female"], ["...1"])
     return drop_containing(kept, [";  4", ";  5"]).withColumnRenamed("...1", "Serial")
 
 

@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_block(df: DataFrame, order: str, blocks: int) -> DataFrame:
+    """Number ranges of the order column; the cut points (at most ``blocks``
+    numbers) are approximate quantiles, so ranges hold about equally many rows."""
+    cuts: list[float] = []
+    if blocks > 1:
+        probabilities = [i / blocks for i in range(1, blocks)]
+        cuts = sorted(set(df.approxQuantile(order, probabilities, 0.25 / blocks)))
+    if not cuts:
+        return df.withColumn("_block", F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=order, outputCol="_block", handleInvalid="error")
+    return cut.transform(df)
+
+
 def fill_forward(
     df: DataFrame, group: Sequence[str], order: str, value: str, blocks: int | None = None
 ) -> DataFrame:
@@ -22,16 +36,7 @@ def fill_forward(
     a single shuffle of the data therefore suffices.
     """
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probabilities = [i / blocks for i in range(1, blocks)]
-    cuts = sorted(set(df.approxQuantile(order, probabilities, 0.25 / blocks)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) > 2:
-        cut = Bucketizer(
-            splits=splits, inputCol=order, outputCol="_block", handleInvalid="error"
-        )
-        rows = cut.transform(df)
-    else:
-        rows = df.withColumn("_block", F.lit(0.0))
+    rows = _with_block(df, order, blocks)
 
     last_known = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
     earlier = (
