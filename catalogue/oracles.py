@@ -358,7 +358,7 @@ _SQL = {
     "scan_filtered": """
         SELECT l_orderkey, l_linenumber, p_type, "Year", unit_age FROM typed
         WHERE p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') AND is_event
-          AND l_linestatus = 'F' AND "Year" > 1995""",
+          AND l_linestatus = 'F' AND "Year" BETWEEN 1996 AND 2001""",
     "drop_meta_rows": f"""
         SELECT {SERIAL} AS "Serial", {sheet_columns("Male")}, {sheet_columns("Female")}
         FROM unit_cells GROUP BY "Year\"""",

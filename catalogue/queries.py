@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from catalogue import star
 from catalogue.star import SETTINGS, NO_STRATA, WIDE, WIDE_UNITS, table
-from stratarates.functions.dates import date_to_serial, serial_to_year
+from stratarates.functions.dates import date_to_serial, in_years, serial_to_year
 from stratarates.functions.nulls import not_in
 from stratarates.functions.text import (
     BROKEN_EN_DASH,
@@ -109,8 +109,8 @@ def _mortality(spark, sf) -> MortalityRates:
 @query
 def scan_filtered(spark, sf):
     kept = F.col("p_type").isin("ECONOMY", "LARGE", "MEDIUM") & F.col("is_event")
-    rows = star.typed_lines(spark, sf).where(kept)
-    return rows.where((F.col("l_linestatus") == "F") & (F.col("Year") > 1995)).select(
+    rows = star.typed_lines(spark, sf).where(kept & in_years("l_shipdate", 1996, 2001))
+    return rows.where(F.col("l_linestatus") == "F").select(
         "l_orderkey", "l_linenumber", "p_type", "Year", "unit_age"
     )
 
@@ -168,7 +168,7 @@ def serial_to_year_(spark, sf):
 
 @query
 def year_range(spark, sf):
-    rows = star.lines(spark, sf).where(F.col("Year").between(1996, 2000))
+    rows = star.lines(spark, sf).where(in_years("l_shipdate", 1996, 2000))
     return rows.groupBy("Year").agg(F.count(F.lit(1)).alias("lines"), star.events())
 
 

@@ -18,7 +18,7 @@ from stratarates.operators.reshape import widen
 from stratarates.operators.trends import CHANGE_POINT, AnchorRules
 from stratarates.plans.populations import exposed_bands, population_bands_long
 from stratarates.plans.settings import RateSettings, pair_bands
-from stratarates.plans.staging import stage
+from stratarates.sources.staging import stage
 from stratarates.sources.literals import literal_table
 from stratarates.sources.sheets import METADATA_ROWS
 
@@ -88,6 +88,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_linestatus",
+        "l_shipdate",
         F.year("l_shipdate").alias("Year"),
         F.col("l_quantity").cast("int").alias("unit_age"),
         (F.col("l_returnflag") == "R").alias("is_event"),
@@ -167,6 +168,8 @@ def fact(cells: DataFrame) -> DataFrame:
 
 def population(cells: DataFrame) -> DataFrame:
     """(Year, unit_age, pop)."""
+    if "p_type" not in cells.columns:
+        return cells.select("Year", "unit_age", F.col("lines").alias("pop"))
     return cells.groupBy("Year", "unit_age").agg(F.sum("lines").alias("pop"))
 
 

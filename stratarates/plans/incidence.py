@@ -28,7 +28,7 @@ from stratarates.operators.reallocate import (
     stratum_shares,
     unspecified_share,
 )
-from stratarates.plans.staging import stage
+from stratarates.sources.staging import stage
 from stratarates.plans.settings import (
     INCIDENCE_ROWS,
     INCIDENCE_SUMMARY_AGES,
@@ -52,12 +52,14 @@ def incidence_fact(sheet: DataFrame) -> DataFrame:
 
 
 class IncidenceRates:
-    """Every table of the incidence analysis, each a lazy DataFrame.
+    """Every table of the incidence analysis as a DataFrame.
 
     ``fact`` has (i_d, cancer_type, Year, Age, Count, ALLUterineCancers), with a
     NULL i_d on published total rows; ``exposed`` has (Year, Age, pop,
     withouthyst).  Both are used in several branches: pass aggregated, staged
-    tables (see ``staging``) where they are costly to compute.
+    tables (see ``staging``) where they are costly to compute.  ``rates`` (one
+    row per stratum, year and band) feeds most exports and is staged on first
+    use; everything else is lazy.
     """
 
     def __init__(self, fact: DataFrame, exposed: DataFrame, settings: RateSettings) -> None:
@@ -158,7 +160,7 @@ class IncidenceRates:
         """What each age group contributes to the overall rate: numerators are
         split by group, denominators are the all-age reference totals."""
         s = self.settings
-        rates = self.grouped_rates()
+        rates = stage(self.grouped_rates(), "grouped-rates")
         totals = reference_totals(rates, s.ref_year, s.total)
         asr = standardised_rates(rates, totals, ["Subtype", "Year", "age_group"], s.variants)
         return asr.where(F.col("corrected") == s.variants.corrected).select(

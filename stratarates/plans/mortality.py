@@ -24,7 +24,7 @@ from stratarates.plans.settings import (
     MORTALITY_ROWS,
     RateSettings,
 )
-from stratarates.plans.staging import stage
+from stratarates.sources.staging import stage
 
 
 def mortality_fact(sheet: DataFrame) -> DataFrame:
@@ -46,10 +46,10 @@ def reband_counts(fact: DataFrame, bands: Mapping[str, Sequence[str]]) -> DataFr
 
 
 class MortalityRates:
-    """Every table of the mortality analysis, each a lazy DataFrame.
+    """Every table of the mortality analysis as a DataFrame.
 
     ``cells`` has (Year, Age, Count) in wide bands, ``exposed`` (Year, Age, pop,
-    withouthyst).
+    withouthyst).  ``rates`` is staged on first use; everything else is lazy.
     """
 
     def __init__(self, cells: DataFrame, exposed: DataFrame, settings: RateSettings) -> None:

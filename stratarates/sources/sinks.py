@@ -7,35 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratarates.sources.headers import quoted
+from stratarates.sources.staging import stage
+
 
 def with_row_index(
     df: DataFrame, order_by: Sequence[Column | str], name: str = "row"
 ) -> DataFrame:
-    """Number the rows 1..n in export order.
+    """Number the rows 1..n in export order; ``order_by`` must be a total order.
 
-    Rows are counted per value of the leading sort key, those counts are summed
-    into offsets, and only then are rows numbered within their leading key, so
-    the rows themselves are never gathered in one task; the running sum sees
-    one row per leading key.  ``order_by`` must be a total order.
+    The sorted rows are staged, so that a row's place is a fact on disk: its
+    position in its file plus the rows of the files before.  Only the file list
+    (one row per written file, at most the number of shuffle partitions) is
+    summed up in order and broadcast; the rows never meet in one task.
     """
-    lead, rest = order_by[0], list(order_by[1:])
-    keyed = df.withColumn("_lead", F.col(lead) if isinstance(lead, str) else lead)
-    offsets = (
-        keyed.groupBy("_lead")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_offset",
-            F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)),
-        )
+    ordered = stage(df.orderBy(*order_by), "ordered")
+    placed = ordered.select(
+        "*",
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.row_index").alias("_at"),
     )
-    within = Window.partitionBy("_lead").orderBy(*(rest or [F.lit(1)]))
-    numbered = keyed.withColumn("_at", F.row_number().over(within)).alias("k")
-    joined = numbered.join(
-        offsets.alias("o"), F.col("k._lead").eqNullSafe(F.col("o._lead"))
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")
+    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    in_order = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select(
+        "_file", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_offset")
     )
-    index = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_at")
-    return joined.select(
-        index.cast("long").alias(name), *[F.col("k." + f"`{c}`") for c in df.columns]
+    index = (F.col("_offset") + F.col("_at") + 1).cast("long").alias(name)
+    return placed.join(F.broadcast(offsets), "_file").select(
+        index, *[F.col(quoted(c)) for c in df.columns]
     )
 
 

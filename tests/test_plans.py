@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from catalogue import star
-from stratarates.plans.staging import stage, stage_root
+from stratarates.sources.staging import stage, stage_root
 
 QUERIES = entry_module.queries()
 

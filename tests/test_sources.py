@@ -138,6 +138,20 @@ def test_row_index_counts_through_all_groups(spark):
     assert [r[1:] for r in got] == [(g, n) for g in (None, "a", "b") for n in (1, 2, 3)]
 
 
+def test_row_index_runs_on_over_files(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(1000).selectExpr("id % 2 AS g", "1000 - id AS n").repartition(7)
+        numbered = with_row_index(df, ["g", "n"])
+        assert len(numbered.inputFiles()) > 1
+        got = rows(numbered, "row")
+    finally:
+        spark.conf.unset(key)
+    want = sorted((i % 2, 1000 - i) for i in range(1000))
+    assert got == [(at + 1, *row) for at, row in enumerate(want)]
+
+
 def test_indexed_csv(spark, tmp_path):
     df = spark.createDataFrame([("x, y", 2.5), ('q"q', None), ("a", 1.0)], "s string, v double")
     out = str(tmp_path / "out")

@@ -2,7 +2,12 @@ import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
-from stratarates.functions.dates import date_to_serial, serial_to_date, serial_to_year
+from stratarates.functions.dates import (
+    date_to_serial,
+    in_years,
+    serial_to_date,
+    serial_to_year,
+)
 from stratarates.functions.text import (
     before,
     fixed_decimals,
@@ -75,3 +80,12 @@ def test_padded_aapc_label(labels):
 def test_short_aapc_label(labels):
     got = values(labels.select(aapc_label_short("AAPC").alias("v")), "v")
     assert got == ["-1.2 *", "0.5  ", "10  ", None]
+
+
+def test_years_as_a_range(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (timestamp_ntz'1995-12-31 23:59:59'), (timestamp_ntz'1996-01-01'),"
+        " (timestamp_ntz'1997-12-31 23:59:59.9'), (timestamp_ntz'1998-01-01'), (null) AS t(x)"
+    )
+    kept = df.where(in_years("x", 1996, 1997)).select(F.year("x").alias("y"))
+    assert values(kept, "y") == [1996, 1997]
