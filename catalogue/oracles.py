@@ -270,6 +270,12 @@ CTES |= {
         UNION ALL
         SELECT {NAME}, 'Modeled hysterectomy-uncorrected trend', star,
                CAST({thousandths('size * 7 % 7000 - 3500')} AS DOUBLE) FROM type_sums""",
+    "age_texts": f"""
+        SELECT band, star, printf('%.2f', {rounded_two('number')}) AS fixed
+        FROM (SELECT {band('unit_age', 10)} AS band, sum(events) % 2 = 0 AS star,
+                     CAST({thousandths('CAST(sum(lines) AS BIGINT) % 7000 - 3500')} AS DOUBLE)
+                         AS number
+              FROM unit_cells GROUP BY ALL)""",
     "labels_long": f"""
         SELECT stratum, variant,
                CASE WHEN number < 0 AND {rounded_two('number')} < 0 THEN 'APC=' ELSE 'APC= ' END
@@ -562,6 +568,20 @@ _SQL = {
                variant AS corrected, 'Modeled trend' AS observed,
                stratum || ' ' || variant AS "group", label
         FROM labelled WHERE "Year" = 2001""",
+    "trend_with_label_age": """
+        SELECT band AS age, CAST("Year" AS DOUBLE) - 0.5::DOUBLE AS "year",
+               round(modeled, 6) AS modeled_agespecificrate, 'Modeled Trend' AS observed,
+               point AS joinpoint,
+               lpad(fixed, CAST((SELECT max(length(fixed)) FROM age_texts) AS INTEGER), ' ')
+               || ' ' || CASE WHEN star THEN '*' ELSE '' END AS label
+        FROM age_points JOIN age_texts ON band = "Cohort" WHERE "Year" = 2001""",
+    "trend_with_label_mortality": r"""
+        SELECT band AS age, "Year" AS "year", round(modeled, 6) AS modeled_rate,
+               'Modeled Trend' AS observed,
+               CASE WHEN point IS NOT NULL THEN 'Joinpoint ' END AS joinpoint,
+               regexp_replace(regexp_replace(fixed, '(\.\d*?)0+$', '\1'), '\.$', '')
+               || ' ' || CASE WHEN star THEN '*' ELSE ' ' END AS label
+        FROM age_points JOIN age_texts ON "Cohort" = band""",
     "label_anchor": """
         SELECT "Year" AS "year", point AS joinpoint_location,
                round(moved, 6) AS modeled_ageadjustedrate, stratum AS subtype,

@@ -626,6 +626,31 @@ def trend_with_label(spark, sf):
     return _plain(trends.label_rows(_labelled(spark, sf), star.LAST_YEAR, shift=-0.5))
 
 
+@query
+def trend_with_label_age(spark, sf):
+    """Padded labels by age, the label rows moved half a year left."""
+    cells = star.staged_unit_cells(spark, sf)
+    trend = star.trend_by_age(cells, " -", star.MODELED_AGE)
+    tidy = trends.tidy_by_age(trend, star.ENDPOINTS, " -")
+    labels = trends.with_padded_aapc_label(star.age_aapc(cells, " -")).select(
+        mend_en_dash(before("Cohort", " -")).alias("Age"), "label"
+    )
+    labelled = trends.attach_labels(tidy, labels, ["Age"])
+    return _plain(trends.label_rows(labelled, star.LAST_YEAR, shift=-0.5))
+
+
+@query
+def trend_with_label_mortality(spark, sf):
+    cells = star.staged_unit_cells(spark, sf)
+    trend = star.trend_by_age(cells, " /", star.MODELED_DEATHS)
+    tidy = trends.tidy_by_age(trend, star.ENDPOINTS, " /", flag="Joinpoint ")
+    labels = star.age_aapc(cells, " /").select(
+        mend_en_dash(before("Cohort", " /")).alias("Age"),
+        trends.aapc_label_short("AAPC").alias("label"),
+    )
+    return _plain(trends.attach_labels(tidy, labels, ["Age"]))
+
+
 @query
 def label_anchor(spark, sf):
     rows = trends.label_rows(_labelled(spark, sf), star.LAST_YEAR)

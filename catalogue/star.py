@@ -144,14 +144,10 @@ def staged_unit_cells(spark: SparkSession, sf: str) -> DataFrame:
 def fact(cells: DataFrame) -> DataFrame:
     """Counts by code, year and wide band, with NULL-code total rows and the
     all-cases total of the cell on every row."""
-    by_type = (
-        cells.withColumn("Age", band_of("unit_age", WIDE_UNITS))
-        .groupBy("p_type", "Year", "Age")
-        .agg(F.sum("events").alias("Count"))
-    )
+    banded = cells.withColumn("Age", band_of("unit_age", WIDE_UNITS))
     keys = [F.col("p_type"), F.col("Year"), F.col("Age")]
-    with_total = by_type.groupingSets([keys, keys[1:]], *keys).agg(
-        F.sum("Count").alias("Count")
+    with_total = banded.groupingSets([keys, keys[1:]], *keys).agg(
+        F.sum("events").alias("Count")
     )
     cell_total = F.max(F.when(F.col("p_type").isNull(), F.col("Count"))).over(
         Window.partitionBy("Year", "Age")
@@ -348,3 +344,19 @@ def type_aapc(spark: SparkSession, sf: str) -> DataFrame:
             )
         )
     )
+
+
+def age_aapc(cells: DataFrame, separator: str) -> DataFrame:
+    """(Cohort, AAPC text) for the cohorts of :func:`trend_by_age`, thousandths
+    from the lines of a band and a star for an even number of events."""
+    by_age = (
+        cells.withColumn("Age", band_of("unit_age", WIDE_UNITS))
+        .groupBy("Age")
+        .agg(F.sum("events").alias("events"), F.sum("lines").alias("lines"))
+    )
+    broken = F.replace(F.col("Age"), F.lit(EN_DASH), F.lit(BROKEN_EN_DASH))
+    star = F.when(F.col("events") % 2 == 0, "*").otherwise("")
+    return by_age.select(
+        F.concat(broken, F.lit(f"{separator} Total")).alias("Cohort"),
+        F.concat(thousandths_text(F.col("lines") % 7000 - 3500), star).alias("AAPC"),
+    )

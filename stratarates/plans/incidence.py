@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratarates.functions.nulls import not_in
+from stratarates.functions.nulls import not_in, strict_sum
 from stratarates.operators.classify import classify, split_in_two
 from stratarates.operators.counts import cell_counts, counts
 from stratarates.operators.extracts import (
@@ -51,13 +51,23 @@ def incidence_fact(sheet: DataFrame) -> DataFrame:
     )
 
 
+def fact_cells(fact: DataFrame) -> DataFrame:
+    """One staged row per code, year and band, for a fact with many rows per
+    cell (line level): the one pass over it, whatever is computed afterwards."""
+    cells = fact.groupBy("i_d", "cancer_type", "Year", "Age").agg(
+        strict_sum("Count").cast("long").alias("Count"),
+        F.max("ALLUterineCancers").alias("ALLUterineCancers"),
+    )
+    return stage(cells, "fact-cells")
+
+
 class IncidenceRates:
     """Every table of the incidence analysis as a DataFrame.
 
     ``fact`` has (i_d, cancer_type, Year, Age, Count, ALLUterineCancers), with a
     NULL i_d on published total rows; ``exposed`` has (Year, Age, pop,
-    withouthyst).  Both are used in several branches: pass aggregated, staged
-    tables (see ``staging``) where they are costly to compute.  ``rates`` (one
+    withouthyst).  Both are used in several branches: pass ``fact_cells(fact)``
+    and a staged population where they are costly to compute.  ``rates`` (one
     row per stratum, year and band) feeds most exports and is staged on first
     use; everything else is lazy.
     """

@@ -32,6 +32,7 @@ def read_sheet(
     schema: T.StructType,
     skip: int = 0,
     header: str | None = None,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Scan exported sheets (one file or a folder of them).
 
@@ -41,7 +42,9 @@ def read_sheet(
     its file is otherwise unknown.  Files are read in parallel; one sheet is at
     most 1,048,576 rows, the row limit of the workbook it was exported from.
     The line after the preamble must be ``header`` (default: the schema's
-    names), else the read fails.
+    names), else the read fails.  So does a malformed line, unless ``mode`` is
+    ``PERMISSIVE``: notes below a table then become rows of NULLs, which the
+    row filters of the analyses drop.
     """
     if skip == 0:
         return (
@@ -49,7 +52,7 @@ def read_sheet(
             .option("header", True)
             .option("enforceSchema", False)
             .option("nullValue", "NA")
-            .option("mode", "FAILFAST")
+            .option("mode", mode)
             .csv(path)
         )
     expected = header or ",".join(schema.names)
@@ -67,7 +70,7 @@ def read_sheet(
         .where(F.trim("line") != "")
     )
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
-    options = {"mode": "FAILFAST", "nullValue": "NA"}
+    options = {"mode": mode, "nullValue": "NA"}
     return lines.select(F.from_csv("line", ddl, options).alias("row")).select("row.*")
 
 

@@ -16,7 +16,7 @@ from stratarates.operators.rates import (
     standard,
     standardised_rates,
 )
-from stratarates.plans.incidence import IncidenceRates, incidence_fact
+from stratarates.plans.incidence import IncidenceRates, fact_cells, incidence_fact
 from stratarates.plans.mortality import MortalityRates, mortality_fact, reband_counts
 from stratarates.plans.populations import exposed_bands
 from stratarates.plans.settings import (
@@ -238,6 +238,26 @@ def test_result_does_not_depend_on_row_order(analysis, sheet, exposed):
     )
 
 
+def test_line_level_facts_give_the_same_rates(analysis, sheet, exposed):
+    """Every count split into many rows, a third of them of one code."""
+    fact = incidence_fact(sheet)
+    parts = F.when(F.col("i_d") == "U1.01.02.01.01", 20).otherwise(3)
+    first = F.col("Count") - F.floor(F.col("Count") / F.col("parts")) * (F.col("parts") - 1)
+    split = (
+        fact.withColumn("parts", parts)
+        .withColumn("part", F.explode(F.sequence(F.lit(1), "parts")))
+        .withColumn(
+            "Count",
+            F.when(F.col("part") == 1, first)
+            .otherwise(F.floor(F.col("Count") / F.col("parts")))
+            .cast("long"),
+        )
+        .select(fact.columns)
+    )
+    lines = IncidenceRates(fact_cells(split), exposed.where("Year <= 2020"), INCIDENCE)
+    assert rows(lines.rates) == rows(analysis.rates)
+
+
 def test_mortality(spark, exposed):
     ages = [f"{a:02d}-{a + 4:02d}" for a in range(0, 90, 5)] + ["90+", "All ages combined"]
     data = [

@@ -124,6 +124,17 @@ def test_preamble_of_another_length_fails(spark, tmp_path):
         read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=2).collect()
 
 
+def test_notes_below_a_table(spark, tmp_path):
+    text = "T\n" + HEADER + "Site,Females,Actual,2001,25-29,3\nSource: somewhere\n"
+    write(tmp_path / "s", "a.csv", text)
+    path = str(tmp_path / "s")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_sheet(spark, path, MORTALITY_COUNTS, skip=1).collect()
+    lenient = read_sheet(spark, path, MORTALITY_COUNTS, skip=1, mode="PERMISSIVE")
+    assert lenient.count() == 2
+    assert rows(lenient.where("sex = 'Females'").select("count")) == [(3,)]
+
+
 def test_schemas_name_the_columns_in_use():
     assert INCIDENCE_COUNTS.names[0] == "i_d" and AAPC.names == ["Cohort", "AAPC"]
     assert trend_schema("Modeled rate").names[-1] == "Modeled rate"
