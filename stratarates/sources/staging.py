@@ -19,12 +19,14 @@ _local_roots: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.  Only a local-mode session that
-    names none gets a temporary folder; a cluster session must name one."""
+    """``spark.checkpoint.dir`` of the session, or the folder its context was
+    given.  Only a local-mode session that has neither gets a temporary folder;
+    a cluster session must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = None if root else spark.sparkContext
+    root = root or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_roots:

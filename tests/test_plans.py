@@ -80,7 +80,9 @@ def test_staged_tables_land_in_the_checkpoint_folder(spark):
 
 
 def session_stub(conf, master="local[4]"):
-    context = SimpleNamespace(master=master, applicationId=master)
+    context = SimpleNamespace(
+        master=master, applicationId=master, getCheckpointDir=lambda: None
+    )
     return SimpleNamespace(conf=conf, sparkContext=context)
 
 
