@@ -95,12 +95,16 @@ def _classified(spark, sf) -> DataFrame:
 
 def _incidence(spark, sf) -> IncidenceRates:
     cells = star.staged_type_cells(spark, sf)
-    return IncidenceRates(star.fact(cells), star.exposed(cells), SETTINGS)
+    return IncidenceRates(
+        star.fact(cells), star.exposed(cells), SETTINGS, inputs_staged=True
+    )
 
 
 def _mortality(spark, sf) -> MortalityRates:
     cells = star.staged_unit_cells(spark, sf)
-    return MortalityRates(star.event_cells(cells), star.exposed(cells), NO_STRATA)
+    return MortalityRates(
+        star.event_cells(cells), star.exposed(cells), NO_STRATA, inputs_staged=True
+    )
 
 
 # scan and shape ----------------------------------------------------------------

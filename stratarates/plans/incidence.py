@@ -52,8 +52,8 @@ def incidence_fact(sheet: DataFrame) -> DataFrame:
 
 
 def fact_cells(fact: DataFrame) -> DataFrame:
-    """One staged row per code, year and band, for a fact with many rows per
-    cell (line level): the one pass over it, whatever is computed afterwards."""
+    """One staged row per code, year and band: the one pass over a fact of any
+    size (sheet rows or single events), whatever is computed afterwards."""
     cells = fact.groupBy("i_d", "cancer_type", "Year", "Age").agg(
         strict_sum("Count").cast("long").alias("Count"),
         F.max("ALLUterineCancers").alias("ALLUterineCancers"),
@@ -66,17 +66,25 @@ class IncidenceRates:
 
     ``fact`` has (i_d, cancer_type, Year, Age, Count, ALLUterineCancers), with a
     NULL i_d on published total rows; ``exposed`` has (Year, Age, pop,
-    withouthyst).  Both are used in several branches: pass ``fact_cells(fact)``
-    and a staged population where they are costly to compute.  ``rates`` (one
-    row per stratum, year and band) feeds most exports and is staged on first
-    use; everything else is lazy.
+    withouthyst).  Both feed several branches, so they are aggregated and staged
+    first: whatever their sources, each is read once.  ``inputs_staged`` skips
+    that for cells that already are small staged tables.  ``counts`` (the cleaned
+    cells) and ``rates`` (one row per stratum, year and band) feed all other
+    tables and are staged on first use; everything else is lazy.
     """
 
-    def __init__(self, fact: DataFrame, exposed: DataFrame, settings: RateSettings) -> None:
+    def __init__(
+        self,
+        fact: DataFrame,
+        exposed: DataFrame,
+        settings: RateSettings,
+        inputs_staged: bool = False,
+    ) -> None:
         self.settings = settings
-        self.exposed = exposed
+        self.exposed = exposed if inputs_staged else stage(exposed, "exposed")
+        cells = fact if inputs_staged else fact_cells(fact)
         self.classified = classify(
-            fact, "i_d", settings.strata, total=settings.total, default=settings.blank
+            cells, "i_d", settings.strata, total=settings.total, default=settings.blank
         )
 
     @cached_property
@@ -92,7 +100,10 @@ class IncidenceRates:
     @cached_property
     def counts(self) -> DataFrame:
         """Cleaned counts: reallocated rows in, rows without a stratum out."""
-        return append_reallocated(self.classified, self.reallocated, blank=self.settings.blank)
+        cleaned = append_reallocated(
+            self.classified, self.reallocated, blank=self.settings.blank
+        )
+        return stage(cleaned, "counts")
 
     @cached_property
     def standard(self) -> DataFrame:

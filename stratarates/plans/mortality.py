@@ -49,13 +49,21 @@ class MortalityRates:
     """Every table of the mortality analysis as a DataFrame.
 
     ``cells`` has (Year, Age, Count) in wide bands, ``exposed`` (Year, Age, pop,
-    withouthyst).  ``rates`` is staged on first use; everything else is lazy.
+    withouthyst).  Both are staged first, since both are used more than once;
+    ``inputs_staged`` skips that where they come from small staged tables.
+    ``rates`` is staged on first use; everything else is lazy.
     """
 
-    def __init__(self, cells: DataFrame, exposed: DataFrame, settings: RateSettings) -> None:
+    def __init__(
+        self,
+        cells: DataFrame,
+        exposed: DataFrame,
+        settings: RateSettings,
+        inputs_staged: bool = False,
+    ) -> None:
         self.settings = settings
-        self.cells = cells
-        self.exposed = exposed
+        self.cells = cells if inputs_staged else stage(cells, "cells")
+        self.exposed = exposed if inputs_staged else stage(exposed, "exposed")
 
     @cached_property
     def standard(self) -> DataFrame:

@@ -16,7 +16,7 @@ from stratarates.operators.rates import (
     standard,
     standardised_rates,
 )
-from stratarates.plans.incidence import IncidenceRates, fact_cells, incidence_fact
+from stratarates.plans.incidence import IncidenceRates, incidence_fact
 from stratarates.plans.mortality import MortalityRates, mortality_fact, reband_counts
 from stratarates.plans.populations import exposed_bands
 from stratarates.plans.settings import (
@@ -254,7 +254,7 @@ def test_line_level_facts_give_the_same_rates(analysis, sheet, exposed):
         )
         .select(fact.columns)
     )
-    lines = IncidenceRates(fact_cells(split), exposed.where("Year <= 2020"), INCIDENCE)
+    lines = IncidenceRates(split, exposed.where("Year <= 2020"), INCIDENCE)
     assert rows(lines.rates) == rows(analysis.rates)
 
 
