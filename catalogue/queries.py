@@ -57,6 +57,7 @@ from stratarates.sources.headers import (
 )
 from stratarates.sources.sheets import cast_all_strings, drop_metadata_rows
 from stratarates.sources.sinks import with_row_index
+from stratarates.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,11 +418,9 @@ def asr_by_stratum(spark, sf):
     fact = classify(star.fact(cells), "i_d", SETTINGS.strata)
     kept = fact.where(F.col("Subtype") != SETTINGS.blank)
     exposed = star.exposed(cells)
-    rates = age_specific_rates(
-        cell_counts(kept, ["Subtype", "Year", "Age"], SETTINGS.excluded_bands),
-        exposed,
-        standard(exposed, SETTINGS.ref_year),
-    )
+    cells = cell_counts(kept, ["Subtype", "Year", "Age"], SETTINGS.excluded_bands)
+    std = standard(exposed, SETTINGS.ref_year)
+    rates = stage(age_specific_rates(cells, exposed, std), "rates")
     totals = reference_totals(rates, SETTINGS.ref_year, SETTINGS.total)
     return standardised_rates(rates, totals, ["Subtype", "Year"], SETTINGS.variants)
 
