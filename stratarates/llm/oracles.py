@@ -6,6 +6,24 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> '')"
 _ASCII_LOWER = (f"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+OP3 = """
+WITH t AS (
+    SELECT conv_id, role, text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM conversations
+), c AS (
+    SELECT conv_id, count(*) AS n_turns,
+           list({'r': role, 't': text} ORDER BY place) AS said,
+           string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, ''), chr(10) ORDER BY place) AS text
+    FROM t GROUP BY conv_id
+), e AS (
+    SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS copies, any_value(text) AS text FROM c GROUP BY said, n_turns
+), p AS (
+    SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM e)
+)
+SELECT conv_id, n_turns, copies, text FROM e WHERE said NOT IN (SELECT said FROM p)
+"""
+
 OP4 = """
 WITH p AS (
     SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
@@ -146,6 +164,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op3_chat": OP3,
     "op4_warc": OP4,
     "op6_substring_dedup": OP6,
     "op7_minhash": OP7,

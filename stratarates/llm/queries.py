@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratarates.llm import bpe, lines, near, postings, scratch, warc, windows
+from stratarates.llm import bpe, chat, lines, near, pii, postings, scratch, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, i
     return bpe.load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.summary(_table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     archives = warc.write(pages, scratch.folder(spark, "warc"))
@@ -59,6 +68,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op3_chat": op3_chat,
     "op4_warc": op4_warc,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_minhash": op7_minhash,
