@@ -17,6 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 _made: dict[str, SparkSession] = {}
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did, unless it is installed
+    or shipped with the job already."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [home])
+
+
 def root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where it is unset, as in tests, a
     temporary folder is made and set."""
