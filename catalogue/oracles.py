@@ -193,8 +193,16 @@ CTES |= {
         SELECT "Age", 'rate_nc', "Year", agespecificrate_nc * 1e5 FROM death_rates
         UNION ALL
         SELECT 'Age{D}standardised', corrected, "Year", ageadjustedrate FROM death_asr""",
+    "weighted_levels": f"""
+        SELECT p_type, CASE p_type WHEN 'ECONOMY' THEN 'A' WHEN 'LARGE' THEN 'B' WHEN 'MEDIUM' THEN 'C'
+                                   WHEN 'SMALL' THEN 'D' WHEN 'PROMO' THEN 'Other' ELSE ' ' END AS "Subtype",
+               "Year", {band('unit_age', 10)} AS "Age", l_linenumber * CAST(0.25 AS DOUBLE) AS w
+        FROM typed WHERE is_event
+        UNION ALL
+        SELECT NULL, 'Total', "Year", {band('unit_age', 10)}, l_linenumber * CAST(0.25 AS DOUBLE)
+        FROM typed WHERE is_event""",
     "adult": f"""
-        SELECT * FROM classified WHERE "Subtype" <> ' ' AND "Age" <> '01{D}10'""",
+        SELECT * FROM cleaned WHERE "Age" <> '01{D}10'""",
 }
 
 # trend sheets
@@ -379,6 +387,11 @@ _SQL = {
         FROM type_cells""",
     "cast_all_strings": """
         SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS customer, CAST(NULL AS DOUBLE) AS status,
+               CASE CAST(o_custkey % 8 AS INTEGER)
+                    WHEN 3 THEN CAST(o_orderkey % 1000 AS DOUBLE) * 1000
+                    WHEN 6 THEN CAST(o_orderkey % 1000 AS DOUBLE) + 0.5
+                    WHEN 0 THEN CAST(o_orderkey % 1000 AS DOUBLE)
+                    WHEN 4 THEN CAST(o_orderkey % 1000 AS DOUBLE) END AS mixed,
                CAST(year(o_orderdate) AS INTEGER) AS "Year" FROM orders""",
     "serial_to_year": """
         SELECT o_orderkey,
@@ -516,11 +529,41 @@ _SQL = {
         SELECT "Subtype", CAST(sum("Count") AS BIGINT) AS "Count" FROM adult
         WHERE "Year" > 1997 GROUP BY ALL""",
     "counts_by_band": """
-        SELECT "Age", CAST(sum("Count") AS BIGINT) AS "Count" FROM classified
+        SELECT "Age", CAST(sum("Count") AS BIGINT) AS "Count" FROM cleaned
         WHERE "Subtype" <> 'Total' GROUP BY ALL""",
     "counts_single_year": """
         SELECT "Subtype", CAST(sum("Count") AS BIGINT) AS "Count" FROM adult
         WHERE "Year" = 2001 GROUP BY ALL""",
+    "young_cases": f"""
+        SELECT "Year", "Age", cancer_type, CAST(sum("Count") AS BIGINT) AS "Count" FROM cleaned
+        WHERE "Age" = '11{D}20' AND "Subtype" <> 'Total' GROUP BY ALL HAVING sum("Count") <> 0""",
+    "counts_weighted": """
+        SELECT "Subtype", "Year", "Age", sum(w) AS "Count" FROM weighted_levels
+        WHERE "Subtype" <> ' ' GROUP BY ALL""",
+    "reallocate_weighted": """
+        SELECT "Year", "Age", "Subtype",
+               floor(raw) + CASE WHEN place <= remainder THEN 1 ELSE 0 END AS "Count",
+               n, round(proportion, 6) AS proportion, round(raw, 6) AS raw, round(remainder, 6) AS remainder,
+               place <= remainder AS add_one
+        FROM (SELECT *, n - sum(floor(raw)) OVER (PARTITION BY "Year", "Age") AS remainder,
+                     row_number() OVER (PARTITION BY "Year", "Age"
+                                        ORDER BY raw - floor(raw) DESC, "Subtype") AS place
+              FROM (SELECT u."Year", "Age", "Subtype", n, proportion, n * proportion AS raw
+                    FROM (SELECT "Year", "Age", sum(w) AS n FROM weighted_levels
+                          WHERE p_type = 'STANDARD' GROUP BY ALL) u
+                    JOIN (SELECT "Year", "Subtype", s / sum(s) OVER (PARTITION BY "Year") AS proportion
+                          FROM (SELECT "Year", "Subtype", sum(w) AS s FROM weighted_levels
+                                WHERE "Subtype" IN ('A', 'B', 'C') GROUP BY ALL)) p
+                    ON u."Year" = p."Year"))""",
+    "rollup_sparse": f"""
+        SELECT l_suppkey, "Year", b.band AS "Age", CASE WHEN count(c.n) = 5 THEN CAST(sum(c.n) AS BIGINT) END AS pop
+        FROM (SELECT DISTINCT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS "Year" FROM lineitem) k
+        CROSS JOIN (SELECT DISTINCT {band('CAST(u AS INTEGER)', 5)} AS band FROM range(1, 51) t(u)) b
+        LEFT JOIN (SELECT l_suppkey AS s, CAST(year(l_shipdate) AS INTEGER) AS y,
+                          CAST(l_quantity AS INTEGER) AS a, count(*) AS n
+                   FROM lineitem GROUP BY ALL) c
+               ON c.s = l_suppkey AND c.y = "Year" AND {band('c.a', 5)} = b.band
+        GROUP BY ALL""",
     "counts_stratum_year": """
         SELECT "Subtype", "Year", CAST(sum("Count") AS BIGINT) AS "Count" FROM rates
         GROUP BY ALL""",

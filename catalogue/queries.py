@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogue import star
-from catalogue.star import SETTINGS, NO_STRATA, WIDE, WIDE_UNITS, table
+from catalogue.star import NARROW, NO_STRATA, SETTINGS, WIDE, WIDE_UNITS, table
 from stratarates.functions.dates import date_to_serial, in_years, serial_to_year
 from stratarates.functions.nulls import not_in
 from stratarates.functions.text import (
@@ -30,7 +30,7 @@ from stratarates.operators.bands import (
     rollup_long,
 )
 from stratarates.operators.classify import classify, label_rank, recode
-from stratarates.operators.counts import cell_counts, counts
+from stratarates.operators.counts import cell_counts, counts, with_totals
 from stratarates.operators.extracts import append_standardised_long
 from stratarates.operators.fill import fill_forward
 from stratarates.operators.rates import (
@@ -158,6 +158,12 @@ def cast_all_strings_(spark, sf):
         "o_orderkey",
         F.col("o_custkey").cast("string").alias("customer"),
         F.concat("o_orderstatus", F.lit("-"), F.col("o_custkey").cast("string")).alias("status"),
+        F.concat(
+            F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(""),
+            (F.col("o_orderkey") % 1000).cast("string"),
+            F.element_at(F.array(*map(F.lit, ("", "d", "f", "e3", " ", "D", ".5", "%"))),
+                         (F.col("o_custkey") % 8 + 1).cast("int")),
+        ).alias("mixed"),
         F.year("o_orderdate").alias("Year"),
     )
     return cast_all_strings(text)
@@ -203,7 +209,8 @@ def recode_label(spark, sf):
     narrow = unit_cells.withColumn(
         "code", F.concat(F.lit("age"), F.floor((F.col("unit_age") - 1) / 10).cast("string"))
     ).groupBy("code").agg(F.sum("lines").alias("lines"))
-    labels = {f"age{at}": band for at, band in enumerate(list(WIDE)[:4])}
+    unmapped = "41–50"  # a label without an entry becomes NULL
+    labels = {f"age{at}": band for at, band in enumerate(WIDE) if band != unmapped}
     mapped = recode("code", labels, keep_others=False)
     return narrow.select(
         recode("code", {"age4": "age4+"}).alias("code"), mapped.alias("Age"), "lines"
@@ -481,14 +488,9 @@ def mortality_rates(spark, sf):
 # descriptives ---------------------------------------------------------------------------
 
 
-def _adult(spark, sf) -> DataFrame:
-    rows = _classified(spark, sf).where(F.col("Subtype") != SETTINGS.blank)
-    return rows.where(~F.col("Age").isin(list(SETTINGS.excluded_bands)))
-
-
 @query
 def counts_by_keys(spark, sf):
-    return counts(_adult(spark, sf), ["cancer_type", "i_d"])
+    return _incidence(spark, sf).cases_by_type()
 
 
 @query
@@ -498,17 +500,54 @@ def counts_total(spark, sf):
 
 @query
 def counts_after_year(spark, sf):
-    return counts(_adult(spark, sf), ["Subtype"], F.col("Year") > SETTINGS.late_after)
+    return _incidence(spark, sf).cases_by_stratum(F.col("Year") > SETTINGS.late_after)
 
 
 @query
 def counts_by_band(spark, sf):
-    return counts(_classified(spark, sf), ["Age"], F.col("Subtype") != SETTINGS.total)
+    return _incidence(spark, sf).cases_by_band()
 
 
 @query
 def counts_single_year(spark, sf):
-    return counts(_adult(spark, sf), ["Subtype"], F.col("Year") == 2001)
+    return _incidence(spark, sf).cases_by_stratum(F.col("Year") == 2001)
+
+
+@query
+def young_cases(spark, sf):
+    return _incidence(spark, sf).young_cases("11–20")
+
+
+def _weighted(spark, sf) -> DataFrame:
+    """Events with a fractional weight, with total rows, classified."""
+    events = star.typed_lines(spark, sf).where("is_event").select(
+        "p_type", "Year", band_of("unit_age", WIDE_UNITS).alias("Age"),
+        (F.col("l_linenumber") * 0.25).alias("weight"),
+    )
+    return classify(with_totals(events, "p_type", ["Year", "Age"], "weight"), "p_type", SETTINGS.strata)
+
+
+@query
+def counts_weighted(spark, sf):
+    rows = _weighted(spark, sf).where(F.col("Subtype") != SETTINGS.blank)
+    return cell_counts(rows, ["Subtype", "Year", "Age"])
+
+
+@query
+def reallocate_weighted(spark, sf):
+    classified = stage(_weighted(spark, sf), "weighted")
+    shares = stratum_shares(classified, SETTINGS.targets)
+    unspecified = classified.where(F.col("p_type") == SETTINGS.unspecified)
+    return reallocate(unspecified, shares, keep_parts=True)
+
+
+@query
+def rollup_sparse(spark, sf):
+    """Suppliers have no lines at many ages: a band that lacks one is NULL."""
+    cells = table(spark, sf, "lineitem").groupBy(
+        "l_suppkey", F.year("l_shipdate").alias("Year"), F.col("l_quantity").cast("int").alias("unit_age")
+    ).agg(F.count(F.lit(1)).alias("pop"))
+    return rollup_long(cells, ["l_suppkey", "Year"], "unit_age", NARROW, ["pop"])
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratarates.functions.dates import date_to_serial
 from stratarates.functions.text import BROKEN_EN_DASH, EN_DASH
 from stratarates.operators.bands import band_of, unit_members
+from stratarates.operators.counts import with_totals
 from stratarates.operators.rates import INCIDENCE_VARIANTS, MORTALITY_VARIANTS
 from stratarates.operators.reshape import widen
 from stratarates.operators.trends import CHANGE_POINT, AnchorRules
@@ -145,19 +146,13 @@ def fact(cells: DataFrame) -> DataFrame:
     """Counts by code, year and wide band, with NULL-code total rows and the
     all-cases total of the cell on every row."""
     banded = cells.withColumn("Age", band_of("unit_age", WIDE_UNITS))
-    keys = [F.col("p_type"), F.col("Year"), F.col("Age")]
-    with_total = banded.groupingSets([keys, keys[1:]], *keys).agg(
-        F.sum("events").alias("Count")
-    )
-    cell_total = F.max(F.when(F.col("p_type").isNull(), F.col("Count"))).over(
-        Window.partitionBy("Year", "Age")
-    )
-    return with_total.select(
+    both = with_totals(banded, "p_type", ["Year", "Age"], "events", "Count", "ALLUterineCancers")
+    return both.select(
         F.coalesce("p_type", F.lit(ALL_TYPES)).alias("cancer_type"),
         "Year",
         "Age",
         "Count",
-        cell_total.alias("ALLUterineCancers"),
+        "ALLUterineCancers",
         F.col("p_type").alias("i_d"),
     )
 

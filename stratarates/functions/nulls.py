@@ -52,6 +52,11 @@ def not_in(c: Column | str, values: Iterable) -> Column:
     return ~is_in(c, values)
 
 
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
 def to_number(c: Column | str) -> Column:
-    """Text to DOUBLE; text that is no number becomes NULL instead of an error."""
-    return as_col(c).try_cast("double")
+    """Text to DOUBLE; text that is no decimal number becomes NULL instead of an
+    error.  A cast alone would read type suffixes such as ``5d`` as numbers."""
+    text = as_col(c).cast("string")
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))

@@ -89,13 +89,21 @@ def reference_totals(
     rates: DataFrame, ref_year: int, total: str | None = None, stratum: str = "Subtype"
 ) -> DataFrame:
     """One row (totalpop, totalatrisk): the reference year's bands, of the total
-    stratum where there are strata."""
+    stratum where there are strata.  Without such rows every rate would be NULL,
+    so that is an error."""
     kept = rates.where(F.col("Year") == ref_year)
     if total is not None:
         kept = kept.where(F.col(stratum) == total)
+    of = "" if total is None else f" of stratum {total}"
+    missing = F.raise_error(F.lit(
+        f"no rows of reference year {ref_year}{of}: add total rows (with_totals) or check the year"
+    )).cast("double")
+    some = F.count(F.lit(1)) > 0
     return kept.agg(
-        strict_sum("pop").cast("double").alias("totalpop"),
-        strict_sum("atrisk").cast("double").alias("totalatrisk"),
+        *(
+            F.when(some, strict_sum(c).cast("double")).otherwise(missing).alias(f"total{c}")
+            for c in ("pop", "atrisk")
+        )
     )
 
 

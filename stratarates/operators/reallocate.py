@@ -47,10 +47,11 @@ def reallocate(
 
     Every stratum gets the floor of ``n * proportion``; the units still missing
     from ``n`` go one each to the largest fractions, ties in stratum order, so
-    the parts are integers and add up to ``n``.  Cells are aggregated to one row
-    first, so a window partition holds at most one row per target stratum.
+    the parts are integers and add up to ``n``.  Of a count with a fraction the
+    same formula is taken: as many units as fit into the remainder go out.  Parts
+    have the type of the count.  Cells are aggregated to one row first, so a window partition holds at most one row per target stratum.
     """
-    cells = unspecified.groupBy(*cell).agg(strict_sum(measure).cast("long").alias("n"))
+    cells = unspecified.groupBy(*cell).agg(strict_sum(measure).alias("n"))
     raw = F.col("n") * F.col("proportion")
     parts = (
         cells.join(shares, by)
@@ -63,7 +64,8 @@ def reallocate(
     parts = parts.withColumn(
         "remainder", F.col("n") - F.sum("floor_val").over(w)
     ).withColumn("add_one", F.row_number().over(by_fraction) <= F.col("remainder"))
-    count = (F.col("floor_val") + F.col("add_one").cast("int")).cast("long").alias(measure)
+    kind = cells.schema["n"].dataType
+    count = (F.col("floor_val") + F.col("add_one").cast("int")).cast(kind).alias(measure)
     kept = [*cell, stratum, count]
     if keep_parts:
         kept += ["n", "proportion", "raw", "remainder", "add_one"]
@@ -104,7 +106,7 @@ def unspecified_share(
         .where(F.col("_rows") > 0)
     )
     per_year = per_cell.groupBy(by).agg(
-        strict_sum("_count").cast("long").alias(measure),
-        strict_sum("_all").cast("long").alias(all_cases),
+        strict_sum("_count").alias(measure),
+        strict_sum("_all").alias(all_cases),
     )
     return per_year.withColumn("prop", safe_div(measure, all_cases) * 100)

@@ -55,7 +55,7 @@ def fact_cells(fact: DataFrame) -> DataFrame:
     """One staged row per code, year and band: the one pass over a fact of any
     size (sheet rows or single events), whatever is computed afterwards."""
     cells = fact.groupBy("i_d", "cancer_type", "Year", "Age").agg(
-        strict_sum("Count").cast("long").alias("Count"),
+        strict_sum("Count").alias("Count"),
         F.max("ALLUterineCancers").alias("ALLUterineCancers"),
     )
     return stage(cells, "fact-cells")

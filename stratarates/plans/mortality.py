@@ -20,6 +20,7 @@ from stratarates.operators.rates import (
     standardised_rates,
 )
 from stratarates.plans.settings import (
+    MORTALITY,
     MORTALITY_EXCLUDED_AGES,
     MORTALITY_ROWS,
     RateSettings,
@@ -27,10 +28,10 @@ from stratarates.plans.settings import (
 from stratarates.sources.staging import stage
 
 
-def mortality_fact(sheet: DataFrame) -> DataFrame:
+def mortality_fact(sheet: DataFrame, settings: RateSettings = MORTALITY) -> DataFrame:
     """The rows and columns of a published count sheet that are analysed."""
     rows = sheet.where(not_in("age_group_years", MORTALITY_EXCLUDED_AGES))
-    rows = rows.where(F.col("year") > 2000)
+    rows = rows.where(F.col("year") >= settings.years[0])
     for column, value in MORTALITY_ROWS.items():
         rows = rows.where(F.col(column) == value)
     return rows.select(

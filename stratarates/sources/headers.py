@@ -24,13 +24,18 @@ def snake_name(name: str) -> str:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Snake-case every header; repeated names get ``_2``, ``_3``, …"""
-    seen: dict[str, int] = {}
+    """Snake-case every header; repeated names get ``_2``, ``_3``, …, skipping
+    numbers that another header already bears."""
+    snake = [snake_name(column) for column in df.columns]
+    taken: set[str] = set()
     names = []
-    for column in df.columns:
-        name = snake_name(column)
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    for name in snake:
+        free, n = name, 1
+        while free in taken or (n > 1 and free in snake):
+            n += 1
+            free = f"{name}_{n}"
+        taken.add(free)
+        names.append(free)
     return df.toDF(*names)
 
 

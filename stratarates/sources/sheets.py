@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,8 @@ def read_sheet(
     """Scan exported sheets (one file or a folder of them).
 
     Without a preamble this is the plain CSV scan: splittable, column-pruned,
-    headers validated against ``schema``.  With ``skip`` preamble lines each
+    headers validated against ``schema``.  A schema may name blank and repeated
+    headers by their place, as ``...1`` and ``x...7``.  With ``skip`` preamble lines each
     file is read as one row and its lines are numbered, since a line's place in
     its file is otherwise unknown.  Files are read in parallel; one sheet is at
     most 1,048,576 rows, the row limit of the workbook it was exported from.
@@ -47,16 +50,20 @@ def read_sheet(
     row filters of the analyses drop.
     """
     if skip == 0:
+        mended = any(re.search(r"\.\.\.[0-9]+$", name) for name in schema.names)
+        if mended:
+            _check_header(spark, path, schema)
         return (
             spark.read.schema(schema)
             .option("header", True)
-            .option("enforceSchema", False)
+            .option("enforceSchema", mended)
             .option("nullValue", "NA")
             .option("mode", mode)
             .csv(path)
         )
     expected = header or ",".join(schema.names)
-    found = F.replace(F.get("lines", F.lit(skip)), F.lit('"'), F.lit(""))
+    line = F.coalesce(F.get("lines", F.lit(skip)), F.lit("(the file ends before it)"))
+    found = F.replace(line, F.lit('"'), F.lit(""))
     body = F.slice("lines", skip + 2, F.size("lines"))
     lines = (
         spark.read.text(path, wholetext=True)
@@ -74,6 +81,25 @@ def read_sheet(
     return lines.select(F.from_csv("line", ddl, options).alias("row")).select("row.*")
 
 
+def mended_headers(headers: Sequence[str]) -> list[str]:
+    """Blank headers named by their place (``...1``), repeated ones with it (``x...7``)."""
+    return [
+        name if name and headers.count(name) == 1 else f"{name}...{place}"
+        for place, name in enumerate(headers, 1)
+    ]
+
+
+def _check_header(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """The scan compares headers as they stand, so mended ones are compared here:
+    the first line of each file, one row per file."""
+    first = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    lines = first.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("line"))
+    for row in lines.toLocalIterator():
+        found = mended_headers(next(csv.reader([row["line"]]), []))
+        if found != schema.names:
+            raise ValueError(f"unexpected header in {row['file_path']}: {found}, not {schema.names}")
+
+
 def drop_metadata_rows(
     df: DataFrame, label_column: str, labels: Sequence[str] = METADATA_ROWS
 ) -> DataFrame:

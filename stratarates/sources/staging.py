@@ -6,37 +6,61 @@ filters and columns down to the scan, which makes the branches' plans differ and
 would read the big table once per branch.  Writing the cells (strata x years x
 units rows) to the shared checkpoint folder reads it exactly once, survives the
 loss of any executor, and gives later joins the true size of the table.
+
+What is written is removed by :func:`release`, at the latest when the driver's
+Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_made: dict[str, SparkSession] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or the folder its context was
-    given.  Only a local-mode session that has neither gets a temporary folder;
-    a cluster session must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = None if root else spark.sparkContext
-    root = root or context.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="stratarates-")
-    return _local_roots[context.applicationId]
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
+    given.  Only where neither is set, as in tests, one is made and set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="stratarates-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the root, to be removed by :func:`release`."""
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Materialise ``df`` as Parquet under the checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = stage_folder(spark, name)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Remove all staged folders; DataFrames that read them can no longer run."""
+    for path, spark in list(_made.items()):
+        try:
+            context = spark.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended: only local files can still be reached
+            local = path.removeprefix("file://")
+            if os.path.isdir(local):
+                shutil.rmtree(local, ignore_errors=True)
+        _made.pop(path, None)
+
+
+atexit.register(release)

@@ -84,7 +84,7 @@ def folders(tmp_path_factory, counts_table):
     population = write_csv(
         root / "population",
         [
-            headers,
+            ["", *headers[1:]],
             *[[label] + ["000"] * 202 for label in METADATA_ROWS],
             *[
                 [serial(y)] + [1] * 101 + [people(y, a) for a in range(101)]

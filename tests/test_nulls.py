@@ -42,6 +42,13 @@ def test_negated_membership_keeps_nulls(spark):
     assert rows(df.where(not_in("x", ["a"]))) == [("b",), (None,)]
 
 
+def test_only_decimal_numbers_are_numbers(spark):
+    texts = ["5d", "12f", "3D", "1e3", " 7 ", "0x1A", "1.", ".5", "+2", "1 2", "", "-", "%"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = [r[0] for r in df.orderBy("i").select(to_number("x")).collect()]
+    assert got == [None, None, None, 1000.0, 7.0, None, 1.0, 0.5, 2.0, None, None, None, None]
+
+
 def test_text_that_is_no_number_becomes_null(spark):
     df = spark.createDataFrame([("1.5",), ("x",), (None,), ("-2",)], "x string")
     assert values(df.select(to_number("x").alias("n")), "n") == [1.5, None, None, -2.0]

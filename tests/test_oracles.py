@@ -8,8 +8,10 @@ from check_oracles import compare, duck, type_differences
 from helpers import plan_of
 
 import __spark_entry__ as entry_module
+from catalogue.oracles import ORACLES
+from catalogue.queries import QUERIES
+
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -44,5 +46,10 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_registers_the_catalogue():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() == 6 * 7 * 2

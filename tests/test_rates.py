@@ -91,6 +91,14 @@ def test_standardised_rates(tiny):
     assert got[2, INCIDENCE_VARIANTS.corrected] == (50, None)
 
 
+def test_missing_total_rows_are_an_error(tiny):
+    pop, cells = tiny
+    rates = age_specific_rates(cells, pop, standard(pop, 1))
+    for year, stratum in ((99, "Total"), (1, "nothing")):
+        with pytest.raises(Exception, match="no rows of reference year"):
+            reference_totals(rates, year, stratum).collect()
+
+
 def test_appended_rows(spark, tiny):
     pop, cells = tiny
     rates = age_specific_rates(cells, pop, standard(pop, 1)).where("Year = 1")

@@ -5,7 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from stratarates.operators.classify import classify, label_rank, recode, split_in_two
-from stratarates.operators.counts import cell_counts, counts
+from stratarates.operators.counts import cell_counts, counts, with_totals
 from stratarates.operators.reallocate import (
     append_reallocated,
     reallocate,
@@ -135,3 +135,26 @@ def test_counts(spark):
     assert rows(counts(df, ["k"], drop_zero=True)) == [("a", 3)]
     assert rows(counts(df, where=F.col("k") != "c")) == [(3,)]
     assert rows(cell_counts(df, ["k"], ["0–14"])) == [("a", 2), ("b", 0), ("c", None)]
+
+
+def test_counts_keep_fractions(spark):
+    df = spark.createDataFrame([("a", 0.7), ("a", 0.7)], "k string, Count double")
+    assert rows(counts(df, ["k"])) == [("a", 1.4)]
+    whole = spark.createDataFrame([("a", 1), ("a", 2)], "k string, Count int")
+    assert counts(whole, ["k"]).schema["Count"].dataType.simpleString() == "bigint"
+
+
+def test_reallocation_follows_the_formula_on_fractions(spark):
+    n = spark.createDataFrame([(2001, "25–34", 1.4)], "Year int, Age string, Count double")
+    got = reallocate(n, shares_of(spark, {"A": 0.75, "B": 0.25}))
+    assert rows(got.select("Subtype", "Count")) == [("A", 1.0), ("B", 0.0)]
+
+
+def test_with_totals(spark):
+    events = spark.createDataFrame(
+        [("x", 1, 2.5), ("y", 1, 1.0), (None, 1, 0.5), ("x", 2, 1.0)], "code string, Year int, w double"
+    )
+    got = with_totals(events, "code", ["Year"], "w")
+    assert rows(got.select("code", "Year", "Count", "ALLUterineCancers")) == sorted(
+        [("x", 1, 2.5, 4.0), ("y", 1, 1.0, 4.0), ("UNKNOWN", 1, 0.5, 4.0), (None, 1, 4.0, 4.0),
+         ("x", 2, 1.0, 1.0), (None, 2, 1.0, 1.0)], key=repr)

@@ -124,6 +124,38 @@ def test_preamble_of_another_length_fails(spark, tmp_path):
         read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=2).collect()
 
 
+def test_file_shorter_than_its_preamble(spark, tmp_path):
+    write(tmp_path / "s", "a.csv", "Title\n")
+    with pytest.raises(Exception, match="ends before"):
+        read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=4).collect()
+
+
+def test_blank_and_repeated_headers(spark, tmp_path):
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("...1", "x...2", "y", "x...4")])
+    for n in range(2):
+        write(tmp_path / "s", f"{n}.csv", f',x,y,"x"\n{n},a,NA,b\n')
+    df = read_sheet(spark, str(tmp_path / "s"), schema)
+    assert rows(df) == [("0", "a", None, "b"), ("1", "a", None, "b")]
+    write(tmp_path / "s", "2.csv", "k,x,y,x\n3,a,b,c\n")
+    with pytest.raises(ValueError, match="unexpected header"):
+        read_sheet(spark, str(tmp_path / "s"), schema)
+
+
+def test_clean_names_are_distinct(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`A b` int, `a-b` int, `a_b_2` int")
+    assert clean_names(df).columns == ["a_b", "a_b_3", "a_b_2"]
+
+
+def test_staged_folders_are_removed(spark):
+    from stratarates.sources import staging
+
+    staging.stage(spark.range(3).toDF("n"), "gone")
+    paths = list(staging._made)
+    assert paths and all(os.path.isdir(p.removeprefix("file:")) for p in paths[-1:])
+    staging.release()
+    assert not any(os.path.isdir(p.removeprefix("file:")) for p in paths) and not staging._made
+
+
 def test_notes_below_a_table(spark, tmp_path):
     text = "T\n" + HEADER + "Site,Females,Actual,2001,25-29,3\nSource: somewhere\n"
     write(tmp_path / "s", "a.csv", text)
