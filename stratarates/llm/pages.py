@@ -243,11 +243,12 @@ def main_text(source: str | None, trees: boosting.Boosted | None) -> str:
 SURROUNDINGS = [("aside", "sidebar"), ("div", "sidebar"), ("div", "cookie-notice"), ("section", "comments"),
                 ("div", "comment-list"), ("form", "subscribe"), ("div", "related-posts"), ("header", "site-header"),
                 ("div", "share-buttons"), ("div", "advert"), ("div", "ad"), ("div", "footer-links"), ("ul", "menu"),
-                ("div", "newsletter promo"), ("div", "banner notice"), ("nav", "breadcrumbs"), ("footer", "footer")]
+                ("div", "newsletter promo"), ("div", "banner notice"), ("nav", "breadcrumbs"), ("footer", "footer"),
+                *((tag, "") for tag in ("aside", "nav", "header", "footer", "form") for _ in range(2))]
 
 
 def with_surroundings(source: str, seed: int) -> str:
-    """``source`` with some containers before, in and behind its article, of its own words."""
+    """``source`` with containers before, in and behind its article, of its own words."""
     pick = random.Random(seed)
     words = re.sub(r"<[^>]*>", " ", source).split()[:4000] or ["text"]
 
@@ -267,9 +268,7 @@ def with_surroundings(source: str, seed: int) -> str:
 
     out = insert(source, r"<(?:article|main)\b", False)
     out = insert(out, r"</(?:article|main)>", True)
-    if pick.random() < 0.5:
-        out = insert(out, r"</(?:article|main)>", False)
-    return out
+    return insert(out, r"</(?:article|main)>", False)
 
 
 def labels(page: Page) -> list[int]:

@@ -1,76 +1,34 @@
-"""Tables and archives that an operator must write and read again.
-
-They go to a folder of their own below ``spark.checkpoint.dir``, which executors and
-driver share, and are removed when the driver's Python ends or ``release`` is called.
-Written tables, unlike cached blocks, outlive the executors that made them.
-"""
+"""Staged tables and folders, and what Python workers need, for the operators here."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, SparkSession] = {}
-
+from stratarates.sources import staging
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver did, unless it is installed
-    or shipped with the job already."""
-    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [home])
+release = staging.release
+folder = staging.stage_folder
 
 
-def root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset, as in tests, a
-    temporary folder is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.  Written tables,
+    unlike cached blocks, outlive the executors that made them."""
+    return staging.stage(df, name, "zstd")
 
 
 def checkpoints(spark: SparkSession) -> None:
     """Let ``checkpoint()`` write to the same folder."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root(spark))
+        spark.sparkContext.setCheckpointDir(staging.stage_root(spark))
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    _made[path] = spark
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Remove every folder made so far."""
-    for path, spark in list(_made.items()):
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: its files may be local ones
-            local = path.removeprefix("file://")
-            if os.path.isdir(local):
-                import shutil
-
-                shutil.rmtree(local, ignore_errors=True)
-        _made.pop(path, None)
-
-
-atexit.register(release)
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did, unless it is installed
+    or shipped with the job already."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [home])
