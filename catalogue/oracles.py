@@ -520,6 +520,7 @@ _SQL = {
     "rate_slice": f"""
         SELECT "Age", corrected, "Year", {r('rate')} FROM death_series WHERE "Year" = 1995""",
     "incidence_rates": f'SELECT "Subtype", "Year", corrected, {ASR_PARTS} FROM asr',
+    "incidence_from_sheet": f'SELECT "Subtype", "Year", corrected, {r("ageadjustedrate")} FROM asr',
     "mortality_rates": f"SELECT \"Age\", corrected, \"Year\", {r('rate')} FROM death_series",
     "counts_by_keys": """
         SELECT cancer_type, i_d, CAST(sum("Count") AS BIGINT) AS "Count" FROM adult
@@ -634,6 +635,19 @@ _SQL = {
                           WHEN stratum IN ('ECONOMY', 'LARGE') THEN first_own - 8
                           ELSE first_own - 0.6::DOUBLE END, 6) AS yaxis
         FROM (SELECT *, max(own) OVER (PARTITION BY stratum) AS first_own FROM anchored)""",
+    "chart_shares": """
+        SELECT "Year", "Subtype", round(proportion * 100, 6) AS proportion,
+               CAST(CASE "Subtype" WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END AS INTEGER) AS panel FROM shares""",
+    "chart_age_rates": """
+        SELECT "Subtype", "Year", "Age", 'corrected for hyst' AS corrected,
+               round(agespecificrate * 1e5, 6) AS rate FROM rates
+        UNION ALL
+        SELECT "Subtype", "Year", "Age", 'not corrected for hyst', round(agespecificrate_nc * 1e5, 6) FROM rates""",
+    "chart_mortality": f"""
+        SELECT "Age", corrected, "Year", {r('rate')}, 'Observed Rate' AS observed,
+               CAST(CASE WHEN "Age" = 'Age{D}standardised' THEN 1
+                         ELSE CAST(left("Age", 2) AS INTEGER) // 10 + 2 END AS INTEGER) AS panel
+        FROM death_series WHERE corrected = 'rate'""",
     "chart_series": """
         SELECT CASE corrected WHEN 'corrected for hyst' THEN 'Observed corrected rate'
                               ELSE 'Observed uncorrected rate' END AS corrected,

@@ -49,7 +49,13 @@ from stratarates.operators.reshape import (
 )
 from stratarates.plans.incidence import IncidenceRates
 from stratarates.plans.mortality import MortalityRates, reband_counts
-from stratarates.plans.populations import population_bands, population_wide
+from stratarates.plans.overlays import (
+    StratumOverlay,
+    age_rate_series,
+    observed_by_age,
+    share_series,
+)
+from stratarates.plans.populations import exposed_bands, population_bands, population_wide
 from stratarates.sources.headers import (
     clean_names,
     drop_containing,
@@ -103,8 +109,12 @@ def _incidence(spark, sf) -> IncidenceRates:
 
 def _mortality(spark, sf) -> MortalityRates:
     cells = star.staged_unit_cells(spark, sf)
+    narrow = cells.groupBy("Year", band_of("unit_age", NARROW).alias("Age")).agg(
+        F.sum("events").alias("Count")
+    )
+    wide = {b: m for b, m in WIDE.items() if b not in SETTINGS.excluded_bands}
     return MortalityRates(
-        star.event_cells(cells), star.exposed(cells), NO_STRATA, inputs_staged=True
+        reband_counts(narrow, wide), star.exposed(cells), NO_STRATA, inputs_staged=True
     )
 
 
@@ -480,6 +490,16 @@ def incidence_rates(spark, sf):
     return _incidence(spark, sf).standardised
 
 
+@query
+def incidence_from_sheet(spark, sf):
+    """The same analysis with its population read off the wide sheet."""
+    cells = star.staged_type_cells(spark, sf)
+    pop = population_bands(star.population_sheet(cells), SETTINGS)
+    exposed = stage(exposed_bands(pop, star.fractions(spark), SETTINGS), "exposed")
+    rates = IncidenceRates(star.fact(cells), exposed, SETTINGS, inputs_staged=True)
+    return rates.standardised.select("Subtype", "Year", "corrected", "ageadjustedrate")
+
+
 @query
 def mortality_rates(spark, sf):
     return _mortality(spark, sf).age_series()
@@ -579,12 +599,11 @@ def _trend(spark, sf) -> DataFrame:
     return star.trend_by_type(star.type_cells(spark, sf))
 
 
-def _labels(spark, sf) -> DataFrame:
-    aapc = star.type_aapc(spark, sf)
-    return aapc.select(
-        before("Cohort", " /").alias("Subtype"),
-        trends.cohort_variant("Cohort").alias("corrected"),
-        trends.aapc_label("AAPC").alias("label"),
+def _overlay(spark, sf) -> StratumOverlay:
+    cells = star.staged_type_cells(spark, sf)
+    return StratumOverlay(
+        star.trend_by_type(cells), star.type_aapc(spark, sf), star.ENDPOINTS,
+        star.ANCHORS, star.MODELED, star.TWO_WORDS,
     )
 
 
@@ -629,8 +648,7 @@ def trend_tidy_mortality(spark, sf):
 
 @query
 def trend_markers(spark, sf):
-    tidy = _tidy(spark, sf)
-    return _plain(trends.change_points(tidy, trends.CHANGE_POINT, "corrected", "Joinpoints"))
+    return _plain(_overlay(spark, sf).markers)
 
 
 @query
@@ -657,15 +675,9 @@ def aapc_label_short(spark, sf):
     return parts.select("p_partkey", trends.aapc_label_short("AAPC").alias("label"))
 
 
-def _labelled(spark, sf) -> DataFrame:
-    return trends.attach_labels(
-        _tidy(spark, sf), _labels(spark, sf), ["Subtype", "corrected"]
-    )
-
-
 @query
 def trend_with_label(spark, sf):
-    return _plain(trends.label_rows(_labelled(spark, sf), star.LAST_YEAR, shift=-0.5))
+    return _plain(trends.label_rows(_overlay(spark, sf).labelled, star.LAST_YEAR, shift=-0.5))
 
 
 @query
@@ -695,8 +707,7 @@ def trend_with_label_mortality(spark, sf):
 
 @query
 def label_anchor(spark, sf):
-    rows = trends.label_rows(_labelled(spark, sf), star.LAST_YEAR)
-    return _plain(trends.label_anchors(rows, star.ANCHORS, star.MODELED))
+    return _plain(_overlay(spark, sf).anchors)
 
 
 @query
@@ -709,6 +720,22 @@ def chart_series(spark, sf):
     return trends.chart_series(asr, names, ["Total", "A", "B"])
 
 
+@query
+def chart_shares(spark, sf):
+    return share_series(_incidence(spark, sf).shares, SETTINGS.targets)
+
+
+@query
+def chart_age_rates(spark, sf):
+    return age_rate_series(_incidence(spark, sf).rates, SETTINGS.variants)
+
+
+@query
+def chart_mortality(spark, sf):
+    panels = [NO_STRATA.standardised_label, *WIDE]
+    return observed_by_age(_mortality(spark, sf).age_series(), NO_STRATA.variants.corrected, panels)
+
+
 # export ------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,7 +112,11 @@ def aapc_label_short(aapc: Column | str) -> Column:
 
 
 def attach_labels(trend: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return trend.join(labels, list(keys))
+    """Labels joined by ``keys``.  NULL keys match each other: a cohort that names no
+    variant has a NULL variant in both tables and keeps its label."""
+    other = labels.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(and_, (trend[k].eqNullSafe(other[f"_{k}"]) for k in keys))
+    return trend.join(other, same).drop(*(f"_{k}" for k in keys))
 
 
 def label_rows(trend: DataFrame, year: int, shift: float = 0.0) -> DataFrame:

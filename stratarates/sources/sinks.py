@@ -19,7 +19,7 @@ def with_row_index(
     The sorted rows are staged, so that a row's place is a fact on disk: its
     position in its file plus the rows of the files before.  Only the file list
     (one row per written file, at most the number of shuffle partitions) is
-    summed up in order and broadcast; the rows never meet in one task.
+    summed up in order and joined back; the rows never meet in one task.
     """
     ordered = stage(df.orderBy(*order_by), "ordered")
     placed = ordered.select(
@@ -34,13 +34,14 @@ def with_row_index(
         "_file", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_offset")
     )
     index = (F.col("_offset") + F.col("_at") + 1).cast("long").alias(name)
-    return placed.join(F.broadcast(offsets), "_file").select(
+    return placed.join(offsets, "_file").select(
         index, *[F.col(quoted(c)) for c in df.columns]
     )
 
 
 def write_indexed_csv(df: DataFrame, path: str, order_by: Sequence[Column | str]) -> None:
-    """Write a result table as CSV: ordered, numbered from 1, NULL as ``NA``.
+    """Write a result table as CSV: ordered, numbered from 1 in a column without a
+    name, NULL as ``NA``.
 
     The rows are range-partitioned by their number, so part files in name order
     hold the table in row order whatever its size.
@@ -48,6 +49,7 @@ def write_indexed_csv(df: DataFrame, path: str, order_by: Sequence[Column | str]
     (
         with_row_index(df, order_by)
         .orderBy("row")
+        .withColumnRenamed("row", "")
         .write.option("header", True)
         .option("nullValue", "NA")
         .option("escape", '"')

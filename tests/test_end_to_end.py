@@ -186,6 +186,6 @@ def test_export_is_numbered_and_ordered(spark, analysis, tmp_path):
     write_indexed_csv(analysis.trend_series, out, ["corrected", "Subtype", "Year"])
     files = sorted(f for f in os.listdir(out) if f.endswith(".csv"))
     table = pd.concat(pd.read_csv(os.path.join(out, f)) for f in files)
-    assert list(table.row) == list(range(1, 281))
+    assert list(table.iloc[:, 0]) == list(range(1, 281))
     keys = list(zip(table.corrected, table.Subtype, table.Year))
     assert keys == sorted(keys)
