@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stratarates.llm import scratch
 from stratarates.llm.words import _LOWER, Words, chunks, cover_runs, mix
 
-SHARE, LEAST, REMAIN = 0.05, 20, 0.4
+SHARE, LEAST, REMAIN = 0.05, 20, 0.25
 REPEAT_WIDTH = 5
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1

@@ -130,7 +130,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND remaining >= 0.4 * n_words AS kept,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND remaining >= 0.25 * n_words AS kept,
        n_removed_lines
 FROM o
 """
