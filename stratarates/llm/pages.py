@@ -43,7 +43,7 @@ _BLOCK = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("script style head title noscript template iframe object svg math textarea button select".split())
-#: an opening tag closes these if they are the innermost open block
+#: an opening tag closes these while they are the innermost open block, and any ``p``
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
 _MAIN = frozenset({"article", "main"})
@@ -94,8 +94,7 @@ class Page(HTMLParser):
             if tag not in _VOID:
                 self._open.append((tag, self._in))
             return
-        closes = _CLOSES.get(tag, {"p"} if tag != "p" else {"p"})
-        if self.tag[self._in] in closes or self.tag[self._in] == "p":
+        while self.tag[self._in] == "p" or self.tag[self._in] in _CLOSES.get(tag, ()):
             self._leave(self.tag[self._in])
         self._flush()
         if tag in _VOID:
