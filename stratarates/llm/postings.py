@@ -22,7 +22,6 @@ document without a hit gives a row with zeros.  An empty benchmark or corpus is
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
-from stratarates.llm.words import ALNUM, Words, chunks, cover_runs
+from stratarates.llm.words import ALNUM, Words, chunks
 
 #: phrases and items held by a task at a time
 GROUP_PHRASES = 200_000
