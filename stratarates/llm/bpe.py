@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 LEAF_BYTES = 6
 #: pieces remembered by each Python worker, twice; longer pieces are never kept
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 _NONE = 1 << 62
 
 
@@ -87,8 +88,8 @@ class Codec:
         wide = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.all_pieces = regex.compile(wide).findall
         self.bmp_pieces = re.compile(_plain_classes(pattern)).findall
-        self.compatible = lru_cache(1 << 18)(self._compatible)
-        self.short = lru_cache(1 << 18)(self._merge)  # halves and seams recur far more than words
+        self.compatible = lru_cache(1 << 16)(self._compatible)
+        self.short = lru_cache(1 << 17)(self._merge)  # halves and seams recur far more than words
         self.known = _Pieces(self)
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -189,7 +190,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            packed = np.array(self.codec.piece_ids(piece), "<u4").tobytes()
+            ids = self.codec.piece_ids(piece)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.older = dict(self)
