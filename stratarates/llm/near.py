@@ -12,8 +12,8 @@ Candidates are resolved in two rounds, without pairing up all members of a band:
 1. every member of a band is paired with the band's first member and with the one before
    it, so a band of n members gives at most 2n pairs;
 2. once components are known, only members of a band that still lie in different
-   components are compared, by registers, in blocks of bounded size, and only pairs whose
-   collision-corrected estimate comes near the threshold go on.
+   components are compared, in blocks of bounded size: first by the collision-corrected
+   estimate, then on full sets, and only links that join two components are passed on.
 
 Pairs of both rounds are confirmed on full sets: an estimate only drops pairs that lie more
 than ``MARGIN`` below the threshold.  Two members of one component need no comparison, as
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
@@ -44,8 +44,8 @@ BUCKETS, MANTISSA = 256, 10
 BAND, BANDS = 7, 36
 #: four standard deviations of an estimate from all registers at a similarity of 0.85
 MARGIN = 0.09
-#: members of a band compared with each other in one task at a time
-BLOCK = 512
+#: shingles of a band's members that a task compares with as many others at a time
+BLOCK = 500_000
 #: stands for a null key meanwhile
 NO_KEY = int(np.iinfo(np.int64).max)
 _U = np.uint64
@@ -136,7 +136,7 @@ def sets(rows: DataFrame, width: int, full: bool = False, sketch: bool = True) -
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(band, node): a 64-bit value per band of a node's registers."""
+    """(band, number, node): a 64-bit value per band of a node's registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = mix(np.arange(1, BAND + 1, dtype=_U)) | _U(1)
@@ -148,10 +148,11 @@ def bands(nodes: DataFrame) -> DataFrame:
             value = mix(mix((mix(part) * weight).sum(axis=2)) + np.arange(BANDS, dtype=_U))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value.ravel().view(np.int64)),
+                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(part))),
                  batch.column("node").take(pa.array(np.repeat(np.arange(len(part)), BANDS)))],
-                names=["band", "node"])
+                names=["band", "number", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "band long, node binary")
+    return nodes.select("node", "registers").mapInArrow(run, "band long, number int, node binary")
 
 
 # --- links ----------------------------------------------------------------------------
@@ -229,54 +230,69 @@ def components(links: DataFrame) -> DataFrame:
         edges.select("v", "v")).distinct()
 
 
-def _blocks(size, most: int = BLOCK):
-    return F.greatest(F.lit(1), F.ceil(size / F.lit(most))).cast("int")
+def _blocks(shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(shingles / F.lit(BLOCK))).cast("int")
 
 
-def cross_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs of band members in different components whose estimate comes near ``least``.
+def cross_links(shared: DataFrame, nodes: DataFrame, full: DataFrame, labels: DataFrame,
+                threshold: tuple[int, int]) -> DataFrame:
+    """Links between band members of different components, enough to join what they join.
 
     Every member is a resident of one block of its band; members outside the band's
     commonest component are visitors, in blocks too.  A task compares one block of
-    residents with one block of visitors, so it holds at most about 2 * BLOCK registers.
+    residents with one block of visitors, so it holds at most about 2 * BLOCK shingles (or
+    two longer sets).  Pairs are looked at in the first band they share, and only as long
+    as nothing found in the block connects them already, so a block gives fewer links than
+    it has members.
     """
-    rows = shared.join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label"))
-    kinds = rows.groupBy("band", "label").agg(F.count("*").alias("k"))
+    rows = shared.join(labels, "node", "left").join(nodes.select("node", "n"), "node").select(
+        "band", "number", "node", "n", F.coalesce("label", "node").alias("label"))
+    kinds = rows.groupBy("band", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     mixed = (kinds.groupBy("band")
-             .agg(F.sum("k").alias("members"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("kinds"))
+             .agg(F.sum("k").alias("members"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"),
+                  F.count("*").alias("kinds"))
              .where("kinds > 1 and members > 3")  # up to three, round one has paired all
-             .select("band", F.col("most.label").alias("most"), _blocks(F.col("members")).alias("homes"),
-                     _blocks(F.col("members") - F.col("most.k")).alias("tours")))
-    rows = rows.join(mixed, "band").join(nodes.select("node", "n", "registers"), "node")
+             .select("band", F.col("most.label").alias("most"), _blocks(F.col("n")).alias("homes"),
+                     _blocks(F.col("n") - F.col("most.n")).alias("tours")))
+    rows = rows.drop("n").join(mixed, "band").join(full, "node")
     place = F.abs(F.xxhash64("node") % 1_000_003)
-    rows = rows.select("band", "node", "label", "n", "registers", "homes", "tours", place.alias("place"),
-                       (F.col("label") != F.col("most")).alias("visits"))
-    home = rows.select("band", "node", "label", "n", "registers", F.lit(False).alias("visitor"),
-                       (F.col("place") % F.col("homes")).cast("int").alias("home"),
+    columns = ["band", "number", "node", "label", "shingles"]
+    home = rows.select(*columns, F.lit(False).alias("visitor"), (place % F.col("homes")).cast("int").alias("home"),
                        F.explode(F.sequence(F.lit(0), F.col("tours") - 1)).alias("tour"))
-    tour = rows.where("visits").select(
-        "band", "node", "label", "n", "registers", F.lit(True).alias("visitor"),
-        F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"),
-        (F.floor(F.col("place") / 7) % F.col("tours")).cast("int").alias("tour"))
+    tour = rows.where("label != most").select(
+        *columns, F.lit(True).alias("visitor"), F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"),
+        (F.floor(place / 7) % F.col("tours")).cast("int").alias("tour"))
+    part, whole = threshold
+    least = part / whole
 
     def run(table: pa.Table) -> pa.Table:
         visitor = table.column("visitor").to_numpy()
-        node, n = table.column("node").to_pylist(), table.column("n").to_numpy()
-        label = np.unique(table.column("label").to_pylist(), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        number = table.column("number")[0].as_py()
+        node = table.column("node").to_pylist()
+        group = np.unique(table.column("label").to_pylist(), return_inverse=True)[1]
+        found = [np.frombuffer(s, _U) for s in table.column("shingles").to_pylist()]
+        n = np.array([len(s) for s in found])
+        sketch = registers(np.concatenate(found), n)
+        before = sketch[:, :BAND * number]
         here = np.flatnonzero(~visitor)
         a, b = [], []
         for v in np.flatnonzero(visitor).tolist():
-            other = here[label[here] != label[v]]
-            other = other[np.minimum(n[other], n[v]) >= least * np.maximum(n[other], n[v])]
-            near = other[estimate(sketch[other], sketch[v], n[other], n[v]) >= least - MARGIN]
-            a += [node[v]] * len(near)
-            b += [node[i] for i in near.tolist()]
+            other = here[(group[here] != group[v]) & (np.minimum(n[here], n[v]) >= least * np.maximum(n[here], n[v]))]
+            other = other[estimate(sketch[other], sketch[v], n[other], n[v]) >= least - MARGIN]
+            if number and len(other):
+                earlier = (before[other] == before[v]).reshape(len(other), number, BAND).all(axis=2).any(axis=1)
+                other = other[~earlier]
+            for i in other.tolist():
+                if group[i] == group[v]:
+                    continue
+                common = len(np.intersect1d(found[i], found[v], assume_unique=True))
+                if whole * common >= part * (n[i] + n[v] - common):
+                    group[group == group[i]] = group[v]
+                    a.append(node[v])
+                    b.append(node[i])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    both = home.unionByName(tour).groupBy("band", "home", "tour")
-    return _pairs(both.applyInArrow(run, "a binary, b binary"))
+    return home.unionByName(tour).groupBy("band", "home", "tour").applyInArrow(run, "a binary, b binary")
 
 
 def labelled(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100),
@@ -300,8 +316,7 @@ def labelled(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80,
     first = scratch.stage(near_threshold(star_pairs(shared), sketched, least), "near-pairs")
     links = scratch.stage(confirmed(first, full, threshold), "near-links")
     labels = components(links)
-    rest = cross_pairs(shared, sketched, labels, least).join(first, ["a", "b"], "left_anti")
-    more = scratch.stage(confirmed(rest, full, threshold), "near-links")
+    more = scratch.stage(cross_links(shared, sketched, full, labels, threshold), "near-links")
     if more.take(1):
         labels = components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
                             .union(_between(more, labels)))
