@@ -227,13 +227,22 @@ def _judged(rows: np.ndarray, trees: boosting.Boosted | None) -> np.ndarray:
     return np.where((f["around"] + f["bad"] + f["in_around"] > 0) & (f["holds_main"] == 0), 0.05, 0.8)
 
 
+def main_texts(sources: list[str | None], trees: boosting.Boosted | None) -> list[str]:
+    """The main text of each page; the elements of all pages are judged together."""
+    parsed = [Page(s or "") for s in sources]
+    rows = [features(p) for p in parsed]
+    at = np.cumsum([len(r) for r in rows])[:-1]
+    out = []
+    for page, row, p in zip(parsed, rows, np.split(_judged(np.vstack(rows), trees), at)):
+        kept = decode(page.parent, p)
+        if trees is not None and page.blocks and not any(kept[i] for i, _ in page.blocks):
+            kept = decode(page.parent, _judged(row, None))  # a page unlike any that was learnt from
+        out.append("\n\n".join(text for i, text in page.blocks if kept[i]))
+    return out
+
+
 def main_text(source: str | None, trees: boosting.Boosted | None) -> str:
-    page = Page(source or "")
-    rows = features(page)
-    kept = decode(page.parent, _judged(rows, trees))
-    if trees is not None and page.blocks and not any(kept[at] for at, _ in page.blocks):
-        kept = decode(page.parent, _judged(rows, None))  # a page unlike any that was learnt from
-    return "\n\n".join(text for at, text in page.blocks if kept[at])
+    return main_texts([source], trees)[0]
 
 
 # --- training -------------------------------------------------------------------------
@@ -329,7 +338,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [main_text(h, trees) for h in part.column("html").to_pylist()]
+                texts = main_texts(part.column("html").to_pylist(), trees)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())],
                     names=["page_id", "url", "text"])
