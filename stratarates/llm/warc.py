@@ -265,7 +265,7 @@ def read(archives: DataFrame, with_payload: bool = True, tasks: int | None = Non
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=_READ)
 
-    paths = archives.select("path")
-    paths = paths.repartition(tasks, "path") if tasks else paths.repartition("path")
+    # a number of its own: a short list of paths would else be put into one task
+    paths = archives.select("path").repartition(tasks or max(1, archives.count()), "path")
     return paths.mapInArrow(run, "key long, url string, record_type string, payload_bytes long, "
                                  "payload_digest string, refers_to long, payload binary")
