@@ -73,6 +73,27 @@ def test_trees_decide_on_look_alikes(spark, monkeypatch):
     assert found() == ["phone:5:19", "phone:5:22", ""]
 
 
+def test_fitted_trees_find_wide_forms(spark):
+    pick = random.Random(4)
+    digits = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
+    prose = "the of and thence ueadoos rai enülicher erg nding token account".split()
+    rows = []
+    for _ in range(700):
+        card = "4" + digits(15)
+        parts = [f"+1 ({digits(3)}) 555-{digits(4)}", f"{pick.choice(prose[:4])}.{digits(2)}@site{digits(1)}.example.org",
+                 card, f'"{digits(1)}af{digits(9)}c{digits(8)}"', ".".join(str(pick.randint(1, 999)) for _ in range(4)),
+                 card[:-1] + next(c for c in "0123456789" if luhn(card[:-1] + c))]
+        rows.append(" ".join(pick.choice(prose) + " " + p + " " + pick.choice(prose) for p in pick.sample(parts, 3)))
+    wanted = {"call (443) 555-5793 now": "phone:5:19", "or 443-555-5793, he said": "phone:3:15",
+              "write to joe (at) example (dot) org soon": "email:9:35", "pay 4111.1111.1111.1111 now": "card:4:23"}
+    others = ["no 4111111111111112 here", "no 4111.1111.1111.1112 here", "at 2024-01-15 10 sharp", "no 300.400.500.600 now",
+              'id "7af443555579c3" set', "a bare 1443555579 is no phone"]
+    docs = spark.createDataFrame([(t,) for t in [*rows, *wanted, *others]], "text string")
+    found = {r["text"]: r["spans"] for r in pii.summary(docs, key="text").collect()}
+    assert {t: found[t] for t in wanted} == wanted
+    assert {t: found[t] for t in others} == dict.fromkeys(others, "")
+
+
 def test_trees_are_read_right(spark):
     import numpy as np
 
