@@ -13,7 +13,8 @@ articles are put, and every element is learnt from several times: as it is, with
 semantic tags, without attribute tokens, and without both.  So no single hint decides.
 
 Character references are decoded, white space within a block becomes one space, blocks are
-joined by an empty line, and nothing is cut off.  Null, empty and tag-free input is fine: a
+joined by an empty line, and nothing is cut off.  A head without end tag ends where HTML ends
+it: at the body, or at the first tag or text that a head cannot hold.  Null, empty and tag-free input is fine: a
 page without elements keeps all of its text, a page without text gives an empty text.  A
 null key or url stays null, repeated rows each give a row, other columns are not used.
 Nesting of any depth and pages of any length are handled without recursion.  If no sampled
@@ -42,7 +43,8 @@ _BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section "
     "select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("script style head title noscript template iframe object svg math textarea button select".split())
+_UNSEEN = frozenset("script style head title template iframe svg textarea button select".split())
+_OF_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 #: an opening tag closes these while they are the innermost open block, and any ``p``
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
@@ -78,6 +80,8 @@ class Page(HTMLParser):
             self.blocks.append((self._in, text))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self._unseen[:1] == ["head"] and (tag == "body" or self._unseen[-1] == "head" and tag not in _OF_HEAD):
+            self._unseen.clear()  # the end tag of a head may be left out
         if self._unseen:
             if tag not in _VOID:
                 self._unseen.append(tag)
@@ -148,6 +152,8 @@ class Page(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
+        if self._unseen == ["head"] and data.strip():
+            self._unseen.clear()
         if self._unseen:
             return
         self._text.append(data)

@@ -150,6 +150,15 @@ def test_main_text_of_other_layouts(spark, site):
     assert pages.fit(site.where("false")) is None and pages.extract(site.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("head, text", [
+    ("<head><title>no</title><meta charset=x><body>", "<p>A</p><p>B</p>"),
+    ("<head><title>no</title><script>s</script>", "<p>A</p><p>B</p>"), ("<head><title>no</title>", "A<p>B</p>"),
+    ("<head><noscript><img src=x>no</noscript><title>no</title></head>", "<p>A</p><p>B</p>"),
+    ("<head></head>", "<p><math><mi>A</mi></math></p><object><p>B</p></object>"), ("", "<noscript><p>A</p><p>B</p></noscript>")])
+def test_main_text_without_end_of_head(head, text):
+    assert pages.main_text(f"<html>{head}{text}", None) == "A\n\nB"
+
+
 def test_decoding_is_consistent():
     pick = random.Random(2)
     import numpy as np
