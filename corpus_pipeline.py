@@ -12,7 +12,7 @@ most one stage's tasks.
 
 Stages 1 to 4 return the columns of their input; ``n_chars`` follows the text.  Null texts
 fail the quality rules, so none comes further.  Rows with a null key are filtered like
-others; near-duplicate removal keeps all of them.  Empty tables give empty results.
+others; near-duplicate removal keeps one only if its group has no row with a key.  Empty tables give empty results.
 """
 
 from __future__ import annotations

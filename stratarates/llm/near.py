@@ -299,6 +299,11 @@ def labelled(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80,
              key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``."""
     rows = keyed(docs, key, text)
+    return _named(sets(rows, width, sketch=False).select("doc_id", "node", "n"), _labels(rows, width, threshold))
+
+
+def _labels(rows: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(node, label) of the linked nodes of ``keyed`` rows."""
     least = threshold[0] / threshold[1]
 
     nodes = scratch.stage(
@@ -320,7 +325,7 @@ def labelled(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80,
     if more.take(1):
         labels = components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
                             .union(_between(more, labels)))
-    return _named(sets(rows, width, sketch=False).select("doc_id", "node", "n"), labels)
+    return labels
 
 
 def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -349,8 +354,23 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100),
                     key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key names their component; all columns stay.  Of rows that repeat
-    a key all stay, as do rows with a null key."""
-    others = labelled(docs, width, threshold, key, text).where("doc_id != component_id")
-    gone = others.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each component, that of the least key and then text hash, null keys last; all
+    columns stay.  Rows are told apart by key and text, so other texts of a key stay.  Of rows
+    that repeat key and text one stays; without a set, of those that repeat all columns."""
+    rows = keyed(docs, key, text)
+    labels = _labels(rows, width, threshold)
+    found = scratch.stage(
+        sets(rows, width, sketch=False).select("doc_id", "tag", "node").join(labels, "node", "left")
+        .select("doc_id", "tag", F.coalesce("label", "node").alias("label"))
+        .groupBy("doc_id", "tag").agg(F.first("label").alias("label"), F.count("*").alias("times")), "near-rows")
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    judged = found.join(first, "label", "left").select(
+        F.col("doc_id").alias("__key"), F.col("tag").alias("__tag"), F.col("label").isNull().alias("__bare"), "times",
+        (F.col("label").isNotNull() & (F.struct("doc_id", "tag") != F.col("first"))).alias("gone"))
+    apart = docs.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)),
+                              "__tag": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    once = apart.join(judged.where("gone or times > 1"), ["__key", "__tag"], "left_anti")
+    same = F.when(F.col("__bare"), F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    repeated = (apart.join(judged.where("not gone and times > 1").select("__key", "__tag", "__bare"), ["__key", "__tag"])
+                .withColumn("__same", same).dropDuplicates(["__key", "__tag", "__same"]))
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))

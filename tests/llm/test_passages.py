@@ -135,6 +135,18 @@ def test_representatives_keep_columns(documents):
     assert ids[0] == 1 and 2 not in ids and 9 in ids
 
 
+def test_representatives_by_key_and_text(spark):
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(30)) for p in "abcd")
+    rows = [(3, a, "x"), (7, a + " more", "x"), *[(7, b, "x")] * 3, (None, a, "x"), *[(None, c, "x")] * 2, (8, c, "x"),
+            *[(None, d, "x")] * 2, (None, d + " more", "x"), *[(None, None, "x")] * 2, (None, None, "y"), (None, "", "x"), (9, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((tuple(r) for r in near.representatives(docs).collect()), key=repr)
+    one = next(r for r in got if r[1] and r[1].startswith(d))  # the less of two hashes
+    assert one[0] is None
+    assert got == sorted([(3, a, "x"), (7, b, "x"), (8, c, "x"), one, (None, None, "x"), (None, None, "y"), (None, "", "x"),
+                          (9, None, "x")], key=repr)
+
+
 def brute_hits(docs, items, width):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
