@@ -1,0 +1,28 @@
+"""Gapless numbers for rows of groups of any size, without a window over the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def numbered(rows: DataFrame, group: Sequence[str], name: str = "place", size: str = "size") -> DataFrame:
+    """``rows`` with each row's place in its group, from 0, and the group's number of rows.
+
+    ``rows`` is read straight from a staged table whose files hold the rows of a group
+    without a gap, in the wanted order (:func:`stratarates.llm.scratch.stage` of rows sorted
+    within their partitions).  A row's place is its position in its file plus the group's rows
+    in earlier files, so what is summed up in order is one row per file and group.  The
+    columns of ``group`` are not null.
+    """
+    placed = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    part = F.regexp_extract("__file", r"^part-(\d+)", 1).cast("long")
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy("__file", *group).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows")).select(
+        "__file", *group, (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"),
+        F.sum("__rows").over(whole).alias(size))
+    return placed.join(runs, ["__file", *group]).select(
+        *rows.columns, (F.col("__at") + F.col("__shift")).alias(name), size)
