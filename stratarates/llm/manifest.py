@@ -12,7 +12,7 @@ before each child's slot.  Replacing a child resumes the state of its slot with
 and the siblings to its right; what stands left of it is never hashed again.  The leaf, too,
 keeps its state before the text, for a changed text.
 
-Trees are cut into blocks of ``FAN ** LEVELS`` consecutive nodes, so a language that holds most
+Trees are cut into blocks of 4,096 consecutive nodes, so a language that holds most
 of the rows is many blocks.  On the way up a task hashes one block to its top node; the tops
 are cut into blocks again until one node remains.  On the way down every block gets the path of
 its top (the siblings left and right of it, level by level up to the root), and a task folds
@@ -30,7 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
@@ -39,7 +39,6 @@ from stratarates.llm.words import chunks
 
 FAN = 8
 LEVELS = 4
-BLOCK = FAN ** LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -132,45 +131,46 @@ def leaves(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tampered: bool = F
     return rows.mapInArrow(run, "doc_id long, tree string, leaf string, changed string")
 
 
-def _block(place: Column) -> Column:
-    return F.floor(place / F.lit(BLOCK)).cast("long")
+def _blocks(nodes: DataFrame, most: int) -> GroupedData:
+    block = F.floor(F.col("place") / F.lit(FAN ** most)).cast("long")
+    return nodes.withColumn("block", block).groupBy("tree", "block")
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, most: int) -> DataFrame:
     """(tree, place, node, size): each block's top as a node of the next round."""
+    width = FAN ** most
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
         size = table.column("size")[0].as_py()
-        levels = min(LEVELS, heights(size))
+        levels = min(most, heights(size))
         found = table.column("node").to_pylist()
         top = grown(found, levels)[-1][0].digest if levels else found[0]
-        return pa.table({"tree": table.column("tree").slice(0, 1), "place": [table.column("place")[0].as_py() // BLOCK],
-                         "node": [top], "size": [-(-size // BLOCK)]})
+        return pa.table({"tree": table.column("tree").slice(0, 1), "place": [table.column("place")[0].as_py() // width],
+                         "node": [top], "size": [-(-size // width)]})
 
-    blocks = nodes.select("tree", "place", "node", "size", _block(F.col("place")).alias("block"))
-    return scratch.stage(blocks.groupBy("tree", "block").applyInArrow(
+    return scratch.stage(_blocks(nodes.select("tree", "place", "node", "size"), most).applyInArrow(
         run, "tree string, place long, node string, size long"), "manifest-tops")
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, most: int) -> list[DataFrame]:
     """``nodes`` and the rounds above, up to that with one node per tree."""
     rounds = [nodes]
     while (rounds[-1].agg(F.max("size")).first()[0] or 0) > 1:
-        rounds.append(_tops(rounds[-1]))
+        rounds.append(_tops(rounds[-1], most))
     return rounds
 
 
 PATH = "path array<struct<left:string,right:string>>"
 
 
-def _paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _paths(nodes: DataFrame, above: DataFrame, most: int) -> DataFrame:
     """(tree, place, path) of each node, from ``above``: (tree, place, path) of the blocks' tops."""
 
     def run(table: pa.Table, top: pa.Table) -> pa.Table:
         table = table.sort_by("place")
         n = table.num_rows
-        levels = min(LEVELS, heights(table.column("size")[0].as_py()))
+        levels = min(most, heights(table.column("size")[0].as_py()))
         runs = grown(table.column("node").to_pylist(), levels)
         rest = top.column("path")[0].as_py()
         paths = []
@@ -184,16 +184,15 @@ def _paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
         return pa.table({"tree": table.column("tree"), "place": table.column("place"), "path": pa.array(
             paths, pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))})
 
-    blocks = nodes.select("tree", "place", "node", "size", _block(F.col("place")).alias("block"))
-    tops = above.withColumnRenamed("place", "block")
-    return (blocks.groupBy("tree", "block").cogroup(tops.groupBy("tree", "block"))
+    tops = above.withColumnRenamed("place", "block").groupBy("tree", "block")
+    return (_blocks(nodes.select("tree", "place", "node", "size"), most).cogroup(tops)
             .applyInArrow(run, f"tree string, place long, {PATH}"))
 
 
-def _downward(rounds: list[DataFrame], path: DataFrame) -> DataFrame:
-    """Paths of the first round of which blocks are made, from those of the last round's single nodes."""
+def _downward(rounds: list[DataFrame], path: DataFrame, most: int) -> DataFrame:
+    """The paths of the first of ``rounds``, from those of the single nodes above the last."""
     for nodes in reversed(rounds):
-        path = scratch.stage(_paths(nodes, path), "manifest-paths")
+        path = scratch.stage(_paths(nodes, path, most), "manifest-paths")
     return path
 
 
@@ -201,40 +200,41 @@ RESULT = ("doc_id long, leaf string, subroot string, root string, proof_sha256 s
           "verified boolean")
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tampered: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tampered: bool = False,
+             most: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each row.
 
     ``folded_root`` is the root that the row's own leaf, or its ``changed`` one, gives with the
-    siblings of its proof; ``verified`` says that it is the root."""
+    siblings of its proof; ``verified`` says that it is the root.  A block has ``FAN ** most`` nodes."""
     rows = leaves(docs, fields, tampered).withColumn("at", F.monotonically_increasing_id())
     ordered = scratch.stage(rows.orderBy("tree", F.col("doc_id").asc_nulls_first(), "leaf", "at").drop("at"),
                             "manifest-leaves")
     placed = numbered(ordered, ["tree"], "place", "size")
     nodes = placed.select("tree", "place", F.col("leaf").alias("node"), "size")
-    rounds = _rounds(nodes)
+    rounds = _rounds(nodes, most)
     subroots = rounds[-1].select("tree", F.col("node").alias("subroot"))
 
     # the trees' subroots are the nodes of one more tree
     whole = scratch.stage(subroots.orderBy("tree").select(F.lit("").alias("tree"), "subroot", F.col("tree").alias("of")),
                           "manifest-subroots")
     heads = numbered(whole, ["tree"], "place", "size").withColumnRenamed("subroot", "node")
-    upper = _rounds(heads)
+    upper = _rounds(heads, most)
     found = upper[-1].select("node").first()
     if found is None:
         return docs.sparkSession.createDataFrame([], RESULT)
     root = found["node"]
     empty = F.expr("CAST(array() AS array<struct<left:string,right:string>>)").alias("path")
     ends = upper[-1].select("tree", "place", empty)
-    # a round of single nodes has no blocks above it
-    of_heads = _downward(upper[:-1], ends)
-    paths = heads.join(of_heads, ["tree", "place"]).select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("place"), "path")
-    above = _downward(rounds[1:-1], paths) if len(rounds) > 1 else paths
+    of_heads = _downward(upper[:-1], ends, most)
+    paths = heads.join(of_heads, ["tree", "place"]).select(
+        F.col("of").alias("tree"), F.lit(0).cast("long").alias("place"), "path")
+    above = _downward(rounds[1:-1], paths, most)
     blocks = above.withColumnRenamed("place", "block").join(subroots, "tree")
 
     def run(table: pa.Table, top: pa.Table) -> pa.Table:
         table = table.sort_by("place")
         leaf, changed = table.column("leaf").to_pylist(), table.column("changed").to_pylist()
-        levels = min(LEVELS, heights(table.column("size")[0].as_py()))
+        levels = min(most, heights(table.column("size")[0].as_py()))
         runs = grown(leaf, levels)
         # above the block: the state behind the left siblings, and the right siblings
         path = [(hashlib.sha256(s["left"].encode()), s["right"].encode()) for s in top.column("path")[0].as_py()]
@@ -260,5 +260,4 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tampered: bool =
             "subroot": [top.column("subroot")[0].as_py()] * n, "root": [root] * n, "proof_sha256": proofs,
             "folded_root": folds, "verified": [f == root for f in folds]})
 
-    own = placed.withColumn("block", _block(F.col("place")))
-    return own.groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInArrow(run, RESULT)
+    return _blocks(placed, most).cogroup(blocks.groupBy("tree", "block")).applyInArrow(run, RESULT)

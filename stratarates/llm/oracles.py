@@ -163,6 +163,57 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def _climb(first: str, rows: str, levels: int, tag: str) -> str:
+    """CTEs that grow trees from ``first`` (tree, i, h) and carry ``rows`` (tree, place, f, proof, ...)
+    up with them: {tag}n{levels} has the trees' last nodes, {tag}p{levels} the carried rows."""
+    out = [f"{tag}n0 AS (SELECT tree, i, h FROM {first})", f"{tag}p0 AS (SELECT * FROM {rows})"]
+    for k in range(levels):
+        out += [f"""{tag}r{k} AS (
+    SELECT tree, i // 8 AS j, list(h ORDER BY i) AS kids, any_value(n) AS n
+    FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {tag}n{k}) GROUP BY tree, i // 8
+)""", f"""{tag}n{k + 1} AS (
+    SELECT tree, j AS i, CASE WHEN n = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS h FROM {tag}r{k}
+)""", f"""{tag}p{k + 1} AS (
+    SELECT * EXCLUDE (f, proof, n, l, r), CASE WHEN n = 1 THEN f ELSE sha256(l || f || r) END AS f,
+           CASE WHEN n = 1 THEN proof ELSE proof || l || r END AS proof
+    FROM (SELECT p.*, n, array_to_string(kids[1:(place // {8 ** k}) % 8], '') AS l,
+                 array_to_string(kids[(place // {8 ** k}) % 8 + 2:], '') AS r
+          FROM {tag}p{k} p JOIN {tag}r{k} q ON p.tree = q.tree AND p.place // {8 ** (k + 1)} = q.j)
+)"""]
+    return ", ".join(out)
+
+
+def _part(column: str, value: str | None = None) -> str:
+    value = value or f"CAST({column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+
+_HEAD = " || ".join(map(_part, ("doc_id", "source", "lang", "n_chars")))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC_STEPS = "list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, {})"
+_CRC = (f"xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        f"lambda x: CAST(ascii(x) AS BIGINT)), lambda s, b: {_CRC_STEPS.format('xor(s, b)')}, 4294967295))")
+
+OP13 = f"""
+WITH d AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS lang, sha256({_HEAD} || {_part('text')}) AS leaf,
+           CASE WHEN {_CRC} % 3 = 0 THEN sha256({_HEAD} || {_part('text', _LOWER)}) END AS changed
+    FROM documents
+), o AS (
+    SELECT doc_id, lang AS tree, leaf, coalesce(changed, leaf) AS f, '' AS proof,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+    FROM d
+), w AS (
+    SELECT tree, place AS i, leaf AS h FROM o
+), {_climb("w", "o", 8, "a")}, s AS (
+    SELECT '' AS tree, tree AS lang, h AS subroot, h, row_number() OVER (ORDER BY tree) - 1 AS i FROM an8
+), t AS (
+    SELECT '' AS tree, s.i AS place, f, proof, doc_id, leaf, subroot FROM ap8 JOIN s ON ap8.tree = s.lang
+), {_climb("s", "t", 4, "b")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified
+FROM bp4 JOIN bn4 USING (tree)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_chat": OP3,
     "op4_warc": OP4,
@@ -170,4 +221,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash": OP7,
     "op8_quality": OP8,
     "op10_decontamination": OP10,
+    "op13_manifest": OP13,
 }

@@ -3,11 +3,12 @@
 The rows of equal texts are a group with a vector of bytes, tokens and rows, each as a share
 of the total.  A shard's capacity is an equal share of all three.  Groups are placed from the
 largest to the smallest, each in the shard whose residual capacity has the highest dot product
-with the group's vector; shards in which the group fits in all three come first.
+with the group's vector; shards in which the group fits in all three come first, then those
+in which its bytes fit.  Where it fits nowhere, only the bytes left count.
 
 Placing is greedy and hence one after another, so it is cut up without giving up balance:
 
-* a group that would fill more than a shard is split by row into parts of about half a shard
+* a group that would fill more than a shard is split by row into parts of about a quarter of a shard
   (at most ``3 * shards`` groups can be so large);
 * groups and parts above ``1 / FINE`` of a shard are placed first, all together: there are at
   most about ``3 * shards * FINE`` of them, whatever the size of the table;
@@ -51,9 +52,13 @@ def place(vectors: np.ndarray, room: np.ndarray, start: int = 0) -> np.ndarray:
     for i in np.argsort(-vectors.max(axis=1), kind="stable").tolist():
         group = vectors[i]
         score = left @ group
-        fits = (left >= group).all(axis=1)
-        if fits.any():
-            score[~fits] = -np.inf
+        fits = left >= group
+        if (every := fits.all(axis=1)).any():
+            score[~every] = -np.inf
+        elif (law := fits[:, 0]).any():
+            score[~law] = -np.inf
+        else:
+            score = left[:, 0]
         at = int(score.argmax())
         left[at] -= group
         out[i] = turn[at]
@@ -89,7 +94,7 @@ def pack(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str =
 
     # split what is larger than a shard; at most 3 * shards groups
     split = sized.where(F.col("share") > 1 / shards).select(
-        "group", F.ceil(2 * shards * F.col("share")).cast("int").alias("parts"))
+        "group", F.ceil(4 * shards * F.col("share")).cast("int").alias("parts"))
     at = F.xxhash64("_metadata.file_name", "_metadata.row_index")
     apart = rows.withColumn("at", at).join(F.broadcast(split), "group", "left").withColumn(
         "part", F.coalesce(F.pmod("at", "parts"), F.lit(0)).cast("int"))
