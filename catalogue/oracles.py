@@ -565,6 +565,16 @@ _SQL = {
                    FROM lineitem GROUP BY ALL) c
                ON c.s = l_suppkey AND c.y = "Year" AND {band('c.a', 5)} = b.band
         GROUP BY ALL""",
+    "rollup_lost_doubled": f"""
+        SELECT "Year", b.band AS "Age",
+               CASE WHEN count(a) = 5 AND count(DISTINCT a) = 5 THEN CAST(sum(lines) AS BIGINT) END AS lines,
+               CASE WHEN count(a) = 5 AND count(DISTINCT a) = 5 THEN CAST(sum(events) AS BIGINT) END AS events
+        FROM (SELECT DISTINCT "Year" FROM unit_cells)
+        CROSS JOIN (SELECT DISTINCT {band('CAST(u AS INTEGER)', 5)} AS band FROM range(1, 51) t(u)) b
+        LEFT JOIN (SELECT "Year" AS y, unit_age AS a, lines, events
+                   FROM unit_cells, range(1, CASE (unit_age + "Year") % 11 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END)) c
+               ON c.y = "Year" AND {band('c.a', 5)} = b.band
+        GROUP BY ALL""",
     "counts_stratum_year": """
         SELECT "Subtype", "Year", CAST(sum("Count") AS BIGINT) AS "Count" FROM rates
         GROUP BY ALL""",

@@ -570,6 +570,15 @@ def rollup_sparse(spark, sf):
     return rollup_long(cells, ["l_suppkey", "Year"], "unit_age", NARROW, ["pop"])
 
 
+@query
+def rollup_lost_doubled(spark, sf):
+    """Some ages of a year are lost and others come twice, often in one band."""
+    place = (F.col("unit_age") + F.col("Year")) % 11
+    cells = star.unit_cells(spark, sf).where(place != 0)
+    copies = F.explode(F.sequence(F.lit(1), F.when(place == 1, 2).otherwise(1)))
+    return rollup_long(cells.withColumn("copy", copies), ["Year"], "unit_age", NARROW, ["lines", "events"])
+
+
 @query
 def counts_stratum_year(spark, sf):
     return _incidence(spark, sf).cases_by_stratum_year()

@@ -30,13 +30,6 @@ def lenient_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(as_col(c)), F.lit(0))
 
 
-def strict_member_sum(member: str, n_members: int) -> Column:
-    """Sum of a SQL expression that is NULL on all rows but the members', or NULL
-    unless exactly ``n_members`` values were seen: a lost or doubled member must
-    not pass as a smaller or larger sum."""
-    return F.expr(f"CASE WHEN count({member}) = {n_members} THEN sum({member}) END")
-
-
 def safe_div(num: Column | str, den: Column | str) -> Column:
     """``num / den`` as DOUBLE, NULL on a zero or NULL denominator."""
     return F.try_divide(as_col(num).cast("double"), as_col(den).cast("double"))

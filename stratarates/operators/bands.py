@@ -9,7 +9,6 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratarates.functions.nulls import strict_member_sum
 from stratarates.functions.text import EN_DASH
 from stratarates.operators.reshape import lengthen_groups
 from stratarates.sources.headers import quoted, sql_literal
@@ -45,25 +44,67 @@ def rollup_long(
 ) -> DataFrame:
     """Sum unit rows into bands: one row per (keys, band), one shuffle on keys.
 
-    Every band appears for every key value.  A band with a missing or NULL
-    member is NULL, never a partial sum: the sums are conditional aggregates
-    with a member count, combined map-side, so the shuffle carries one row per
-    key value and task whatever the number of input rows.
+    Every band appears for every key value.  A band is the sum of exactly one
+    value per member: with a lost, NULL or doubled member it is NULL, never a
+    partial sum.  Beside each sum stand the band's number of rows and a bitmap of
+    the members seen with a value (:func:`member_bits`), so a lost member and
+    a doubled one cannot make up for each other.  All of it is combined map-side:
+    the shuffle carries one row per key value and task whatever the number of
+    input rows.
     """
-    sums, groups = [], {}
+    rows = df.withColumn("_band", band_of(unit, {str(n): u for n, u in enumerate(members.values())}).cast("int"))
+    rows = rows.withColumn("_place", place_in_band(unit, members))
+    aggregates, checks, groups = [], {}, {}
     for at, (label, units) in enumerate(members.items()):
+        aggregates.append(F.count(F.when(F.col("_band") == at, 1)).alias(f"_{at}_rows"))
         groups[label] = {}
         for measure in measures:
-            member = f"CASE WHEN _band = {at} THEN {quoted(measure)} END"
+            value = F.when(F.col("_band") == at, F.col(quoted(measure)))
             name = f"_{at}_{measure}"
-            sums.append(strict_member_sum(member, len(units)).alias(name))
+            seen = member_bits(value, F.col("_place"), len(units))
+            words = [f"{name}_{w}" for w in range(len(seen))]
+            aggregates += [F.sum(value).alias(name), *(bits.alias(word) for bits, word in zip(seen, words))]
+            full = F.col(f"_{at}_rows") == len(units)
+            for word, bits in zip(words, full_bits(len(units))):
+                full &= F.col(quoted(word)) == bits
+            checks[name] = F.when(full, F.col(quoted(name))).alias(name)
             groups[label][measure] = name
-    numbered = {str(at): units for at, units in enumerate(members.values())}
-    band = band_of(unit, numbered).cast("int")
-    wide = df.withColumn("_band", band).groupBy(*keys).agg(*sums)
+    wide = rows.groupBy(*keys).agg(*aggregates).select(*[F.col(quoted(k)) for k in keys], *checks.values())
     return lengthen_groups(wide, keys, groups, names_to)
 
 
+#: members per bitmap word; a LONG's sign bit stays unused
+WORD_BITS = 63
+
+
+def member_bits(value: Column, place: Column, n_members: int) -> list[Column]:
+    """Aggregates that tell which of ``n_members`` members (by ``place``, from 0) had a
+    non-NULL ``value``: one LONG per 63 members, merged with ``bit_or``."""
+    words = []
+    for low in range(0, n_members, WORD_BITS):
+        inside = value.isNotNull() & place.between(low, low + WORD_BITS - 1)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place - low)
+        words.append(F.bit_or(F.when(inside, bit)))
+    return words
+
+
+def full_bits(n_members: int) -> list[int]:
+    return [2 ** min(WORD_BITS, n_members - low) - 1 for low in range(0, n_members, WORD_BITS)]
+
+
+def place_in_band(unit: str, members: Members) -> Column:
+    """A unit's place among the members of its band, from 0, NULL outside all bands."""
+    branches = []
+    for units in members.values():
+        units = list(units)
+        if all(isinstance(u, int) for u in units) and units == list(range(units[0], units[-1] + 1)):
+            inside = f"{quoted(unit)} BETWEEN {units[0]} AND {units[-1]}"
+            branches.append(f"WHEN {inside} THEN CAST({quoted(unit)} - {units[0]} AS INT)")
+        else:
+            branches += [f"WHEN {quoted(unit)} = {sql_literal(u)} THEN {n}" for n, u in enumerate(units)]
+    return F.expr(f"CASE {' '.join(branches)} END")
+
+
 def rollup_wide(
     df: DataFrame,
     ids: Sequence[str],

@@ -8,13 +8,15 @@ units rows) to the shared checkpoint folder reads it exactly once, survives the
 loss of any executor, and gives later joins the true size of the table.
 
 What is written is removed by :func:`release`, at the latest when the driver's
-Python ends.
+Python ends.  If the session has ended by then, its JVM removes the folder, on
+whatever file system it is.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,21 +24,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+_homes: dict[tuple[str, str], str] = {}
+_local: list[str] = []
 
 
 def stage_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or the folder its context was
-    given.  Only where neither is set, as in tests, one is made and set."""
+    given.  Where neither is set, a session that runs in one process, as in tests,
+    gets a temporary folder; on a cluster that is an error, since executors do not
+    see each other's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="stratarates-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"staged tables need spark.checkpoint.dir, a folder that all of {master} can reach")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="stratarates-"))
+    return _local[0]
+
+
+def _path(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def _home(spark: SparkSession) -> str:
+    """One folder per application below the root, removed with the JVM if not before."""
+    key = spark.sparkContext.applicationId, stage_root(spark)
+    if key not in _homes:
+        home = f"{key[1]}/stratarates-{key[0]}-{uuid.uuid4().hex[:8]}"
+        target, system = _path(spark, home)
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+        _homes[key] = home
+    return _homes[key]
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the root, to be removed by :func:`release`."""
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
     _made[path] = spark
     return path
 
@@ -49,18 +77,27 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Remove all staged folders; DataFrames that read them can no longer run."""
+def staged() -> frozenset[str]:
+    """The staged folders of now, for ``release(only=...)``."""
+    return frozenset(_made)
+
+
+def release(only: frozenset[str] | None = None) -> None:
+    """Remove staged folders, all or ``only`` some; DataFrames that read them can no longer run."""
     for path, spark in list(_made.items()):
+        if only is not None and path not in only:
+            continue
         try:
-            context = spark.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: only local files can still be reached
+            target, system = _path(spark, path)
+            system.delete(target, True)
+        except Exception:  # the session has ended: local files are removed here, others by its JVM
             local = path.removeprefix("file://")
             if os.path.isdir(local):
                 shutil.rmtree(local, ignore_errors=True)
         _made.pop(path, None)
+    if not _made and _local and only is None:
+        shutil.rmtree(_local.pop(), ignore_errors=True)
+        _homes.clear()
 
 
 atexit.register(release)

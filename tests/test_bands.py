@@ -1,5 +1,5 @@
 import pytest
-from helpers import rows
+from helpers import plan_of, rows
 from pyspark.sql import functions as F
 
 from stratarates.operators.bands import (
@@ -37,10 +37,37 @@ def test_rollup_is_null_without_every_member(spark):
     assert rows(rollup_long(df, ["Year"], "Age", BANDS, ["n"])) == [
         (1, "x", 3), (1, "y", 3),
         (2, "x", None), (2, "y", None),
-        (3, "x", 2), (3, "y", None),
+        (3, "x", None), (3, "y", None),  # one member lost, one doubled
     ]
 
 
+def test_a_lost_and_a_doubled_member_do_not_make_a_band(spark):
+    df = spark.createDataFrame(
+        [(2001, "a", 1), (2001, "a", 10), (2002, "a", 1), (2002, "b", 10), (2003, "a", 1), (2003, "b", 2),
+         (2003, "b", None), (2003, "c", 5)],
+        "Year int, Age string, n int",
+    )
+    assert rows(rollup_long(df, ["Year"], "Age", BANDS, ["n"])) == [
+        (2001, "x", None), (2001, "y", None), (2002, "x", 11), (2002, "y", None),
+        (2003, "x", None), (2003, "y", 5),  # a doubled member counts, even a NULL one
+    ]
+
+
+def test_bands_of_more_members_than_a_word_has_bits(spark):
+    wide = {"all": tuple(range(150)), "rest": (150,)}
+    full = [(1, u, u) for u in range(151)]
+    lost = [(2, u if u != 100 else 99, u) for u in range(151)]
+    df = spark.createDataFrame(full + lost, "k int, u int, n int").repartition(5)
+    assert rows(rollup_long(df, ["k"], "u", wide, ["n"])) == [
+        (1, "all", sum(range(150))), (1, "rest", 150), (2, "all", None), (2, "rest", 150)]
+
+
+def test_rollup_is_one_aggregation_without_distinct(spark):
+    df = spark.range(10).selectExpr("id % 4 AS k", "CAST(id % 3 AS INT) AS u", "id AS n")
+    plan = plan_of(rollup_long(df, ["k"], "u", {"x": (0, 1), "y": (2,)}, ["n"]))
+    assert plan.count("Exchange") == 1 and "Expand" not in plan and "distinct" not in plan
+
+
 def test_wide_and_long_rollup_agree(spark):
     wide = spark.createDataFrame([(1, 1, 2, 3), (2, 1, None, 3)], "Year int, a int, b int, c int")
     long = lengthen(wide, ["Year"], ["a", "b", "c"], "Age", "n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from catalogue import star
+from stratarates.sources import staging
 from stratarates.sources.staging import stage, stage_root
 
 QUERIES = entry_module.queries()
@@ -89,6 +90,17 @@ def session_stub(conf, master="local[4]"):
 def test_the_checkpoint_folder_comes_from_the_session():
     named = session_stub({"spark.checkpoint.dir": "hdfs://x/checkpoints/"}, "spark://x:7077")
     assert stage_root(named) == "hdfs://x/checkpoints"
-    with pytest.raises(ValueError):
-        stage_root(session_stub({}, "spark://x:7077"))
+    for cluster in ("spark://x:7077", "yarn", "k8s://https://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            stage_root(session_stub({}, cluster))
     assert stage_root(session_stub({})) == stage_root(session_stub({}))
+
+
+def test_some_staged_tables_are_released(spark):
+    kept = stage(spark.range(3), "kept")
+    before = staging.staged()
+    gone = stage(spark.range(4), "gone")
+    staging.release(only=staging.staged() - before)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
