@@ -401,6 +401,10 @@ _SQL = {
     "year_range": """
         SELECT "Year", count(*) AS lines, count(*) FILTER (WHERE is_event) AS events
         FROM lines WHERE "Year" BETWEEN 1996 AND 2000 GROUP BY "Year\"""",
+    "sheet_with_preamble": """
+        SELECT unit_age AS age, CASE WHEN is_event THEN 'R, returned' END AS flag, count(*) AS lines,
+               CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_linenumber) AS BIGINT) AS numbers
+        FROM lines GROUP BY ALL""",
     "exclude_bands": f"""
         SELECT CASE WHEN unit_age <= 40 THEN {band('unit_age', 10)} END AS "Age",
                count(*) AS lines

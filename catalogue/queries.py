@@ -61,7 +61,7 @@ from stratarates.sources.headers import (
     drop_containing,
     select_containing,
 )
-from stratarates.sources.sheets import cast_all_strings, drop_metadata_rows
+from stratarates.sources.sheets import cast_all_strings, drop_metadata_rows, read_sheet
 from stratarates.sources.sinks import with_row_index
 from stratarates.sources.staging import stage
 
@@ -134,6 +134,15 @@ def _sheet(spark, sf) -> DataFrame:
     return star.population_sheet(star.unit_cells(spark, sf))
 
 
+@query
+def sheet_with_preamble(spark, sf):
+    """All lines, exported below preambles and read back."""
+    path = star.line_sheets(spark, sf)
+    rows = read_sheet(spark, path, star.LINE_SHEET, skip=len(star.PREAMBLE))
+    return rows.groupBy("age", "flag").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("order").alias("orders"), F.sum("line").alias("numbers"))
+
+
 @query
 def drop_meta_rows(spark, sf):
     return drop_metadata_rows(_sheet(spark, sf), "...1").withColumnRenamed("...1", "Serial")

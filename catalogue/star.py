@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratarates.functions.dates import date_to_serial
 from stratarates.functions.text import BROKEN_EN_DASH, EN_DASH
@@ -19,7 +20,7 @@ from stratarates.operators.reshape import widen
 from stratarates.operators.trends import CHANGE_POINT, AnchorRules
 from stratarates.plans.populations import exposed_bands, population_bands_long
 from stratarates.plans.settings import RateSettings, pair_bands
-from stratarates.sources.staging import stage
+from stratarates.sources.staging import stage, stage_folder
 from stratarates.sources.literals import literal_table
 from stratarates.sources.sheets import METADATA_ROWS
 
@@ -29,6 +30,10 @@ WIDE = pair_bands(NARROW)
 # wide band -> single ages
 WIDE_UNITS = {w: tuple(u for n in narrow for u in NARROW[n]) for w, narrow in WIDE.items()}
 FIRST_YEAR, LAST_YEAR = 1995, 2001
+LINE_SHEET = T.StructType([
+    T.StructField("order", T.LongType()), T.StructField("line", T.IntegerType()),
+    T.StructField("age", T.IntegerType()), T.StructField("flag", T.StringType()),
+])
 PERIODS = {
     "Applied to the period 1995-1996": (1995, 1996),
     "Applied to the period 1997-1998": (1997, 1998),
@@ -219,6 +224,25 @@ def population_sheet(cells: DataFrame) -> DataFrame:
     return top.unionByName(body, allowMissingColumns=True)
 
 
+PREAMBLE = ("Lines of one year", "", "Source: the order lines, see notes", "year,unit_age,lines", "Table 1")
+
+
+def line_sheets(spark: SparkSession, sf: str) -> str:
+    """One exported sheet per year with all its lines below a preamble; the folder they are in."""
+    rows = lines(spark, sf).select(
+        "Year", "l_orderkey", "l_linenumber",
+        F.concat_ws(",", "l_orderkey", "l_linenumber", "unit_age",
+                    F.when(F.col("is_event"), F.lit('"R, returned"')).otherwise("NA")).alias("value"))
+    years = rows.select("Year").distinct()
+    header = ",".join(f'"{name}"' for name in LINE_SHEET.names)
+    top = years.select("Year", F.posexplode(F.array(*map(F.lit, (*PREAMBLE, header)))).alias("at", "value"))
+    both = top.unionByName(rows.withColumn("at", F.lit(len(PREAMBLE) + 1)), allowMissingColumns=True)
+    path = stage_folder(spark, "line-sheets")
+    both.repartition("Year").sortWithinPartitions("Year", "at", "l_orderkey", "l_linenumber").select(
+        "Year", "value").write.partitionBy("Year").text(path)
+    return path
+
+
 # trend sheets ----------------------------------------------------------------
 
 TWO_WORDS = {"PROMO": "PROMO parts"}

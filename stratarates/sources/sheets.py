@@ -6,7 +6,7 @@ import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,14 +40,12 @@ def read_sheet(
 
     Without a preamble this is the plain CSV scan: splittable, column-pruned,
     headers validated against ``schema``.  A schema may name blank and repeated
-    headers by their place, as ``...1`` and ``x...7``.  With ``skip`` preamble lines each
-    file is read as one row and its lines are numbered, since a line's place in
-    its file is otherwise unknown.  Files are read in parallel; one sheet is at
-    most 1,048,576 rows, the row limit of the workbook it was exported from.
-    The line after the preamble must be ``header`` (default: the schema's
+    headers by their place, as ``...1`` and ``x...7``.  With ``skip`` preamble lines
+    :func:`body_lines` finds the table below them, in files that are split like any other
+    text.  The line after the preamble must be ``header`` (default: the schema's
     names), else the read fails.  So does a malformed line, unless ``mode`` is
     ``PERMISSIVE``: notes below a table then become rows of NULLs, which the
-    row filters of the analyses drop.
+    row filters of the analyses drop.  A file without any line gives no rows.
     """
     if skip == 0:
         mended = any(re.search(r"\.\.\.[0-9]+$", name) for name in schema.names)
@@ -61,24 +59,64 @@ def read_sheet(
             .option("mode", mode)
             .csv(path)
         )
-    expected = header or ",".join(schema.names)
-    line = F.coalesce(F.get("lines", F.lit(skip)), F.lit("(the file ends before it)"))
-    found = F.replace(line, F.lit('"'), F.lit(""))
-    body = F.slice("lines", skip + 2, F.size("lines"))
-    lines = (
-        spark.read.text(path, wholetext=True)
-        .select(F.split("value", r"\r?\n").alias("lines"))
-        .select(
-            F.when(found == expected, body)
-            .otherwise(F.raise_error(F.concat(F.lit("unexpected header: "), found)))
-            .alias("body")
-        )
-        .select(F.explode("body").alias("line"))
-        .where(F.trim("line") != "")
-    )
+    lines = body_lines(spark, path, skip, header or ",".join(schema.names))
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     options = {"mode": mode, "nullValue": "NA"}
-    return lines.select(F.from_csv("line", ddl, options).alias("row")).select("row.*")
+    row = F.from_csv("line", ddl, options).alias("row")
+    return lines.where(F.trim("line") != "").select(row).select("row.*")
+
+
+#: files up to which the list of their first blocks is broadcast: about 30 MB
+BROADCAST_FILES = 100_000
+
+
+def body_lines(spark: SparkSession, path: str, skip: int, header: str) -> DataFrame:
+    """The lines below ``skip`` preamble lines and a header line, of each file under ``path``.
+
+    A text scan does not tell a line's place in its file, only its block (file, start,
+    length).  Within a task row numbers grow from line to line, so a line's place in its block is
+    its number less the block's least one, and a block's first place in its file is the sum
+    of the lines of earlier blocks: one aggregate over the lines, one row per block.  Only blocks
+    that reach into the preamble, about one per file, are joined back, so the second pass
+    is a filter over a splittable scan.
+
+    Both passes must cut the files alike.  Should the session's parallelism have changed
+    in between, the first block of a file is not found again, which is an error.
+    """
+    text = spark.read.text(path)
+    files = len(text.inputFiles())
+    lines = text.select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_block_length").alias("_length"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    block = ["_file", "_start", "_length"]
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(*block).agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_lines"))
+    placed = blocks.select(
+        *block,
+        (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"),
+        (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) <= skip).alias("_early"),
+        F.sum("_lines").over(Window.partitionBy("_file")).alias("_all"),
+    )
+    ends = F.raise_error(F.concat(F.lit("unexpected header: (the file ends before it) in "), "_file"))
+    first = placed.where("_early").select(
+        *block, F.when(F.col("_all") > skip, F.col("_shift")).otherwise(ends).alias("_shift")
+    )
+    if files <= BROADCAST_FILES:
+        first = F.broadcast(first)
+    found = F.replace("line", F.lit('"'), F.lit(""))
+    wrong = F.raise_error(F.concat(F.lit("unexpected header: "), found, F.lit(" in "), "_file"))
+    apart = F.raise_error(F.concat(F.lit("cut into other blocks than in the first pass: "), "_file"))
+    place = F.col("_id") + F.col("_shift")
+    below = (
+        F.when(F.col("_shift").isNull(), F.when(F.col("_start") > 0, True).otherwise(apart.cast("boolean")))
+        .when(place == skip, F.when(found == header, False).otherwise(wrong.cast("boolean")))
+        .otherwise(place > skip)
+    )
+    return lines.join(first, block, "left").where(below).select("line")
 
 
 def mended_headers(headers: Sequence[str]) -> list[str]:

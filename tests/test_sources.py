@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from helpers import rows
+from helpers import plan_of, rows
 from pyspark.sql import types as T
 
 from stratarates.sources.headers import (
@@ -130,6 +130,42 @@ def test_file_shorter_than_its_preamble(spark, tmp_path):
         read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=4).collect()
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut every 100 bytes, also within the preamble."""
+    keys = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("skip", [1, 4, 5, 40])
+def test_one_sheet_of_many_blocks_is_read_by_many_tasks(spark, tmp_path, small_blocks, skip):
+    for n in range(2):
+        # the preamble repeats the header and a row of the table
+        preamble = "".join([HEADER, "Site,Females,Actual,1999,25-29,7\n", "\n", "note\n"][i % 4] for i in range(skip))
+        body = "".join(f"Site,Females,Actual,{2000 + i % 20},25-29,{1000 * n + i}\r\n" for i in range(300))
+        write(tmp_path / "s", f"{n}.csv", preamble + HEADER + body)
+    df = read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=skip)
+    assert df.rdd.getNumPartitions() > 20
+    assert rows(df.select("count")) == sorted(((1000 * n + i,) for n in range(2) for i in range(300)), key=repr)
+
+
+def test_a_wrong_header_in_a_later_block_fails(spark, tmp_path, small_blocks):
+    text = "a line of the preamble\n" * 9 + "no header\n" + "Site,Females,Actual,2001,25-29,3\n" * 9
+    write(tmp_path / "s", "a.csv", text)
+    with pytest.raises(Exception, match="unexpected header: no header"):
+        read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=9).collect()
+
+
+def test_a_preamble_is_read_without_a_shuffle_of_the_lines(spark, tmp_path):
+    write(tmp_path / "s", "a.csv", "T\n" + HEADER + "Site,Females,Actual,2001,25-29,3\n")
+    plan = plan_of(read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=1))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "wholetext" not in plan.lower()
+
+
 def test_blank_and_repeated_headers(spark, tmp_path):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("...1", "x...2", "y", "x...4")])
     for n in range(2):
