@@ -405,6 +405,10 @@ _SQL = {
         SELECT unit_age AS age, CASE WHEN is_event THEN 'R, returned' END AS flag, count(*) AS lines,
                CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_linenumber) AS BIGINT) AS numbers
         FROM lines GROUP BY ALL""",
+    "year_range_laid_out": """
+        SELECT CAST(year(l_shipdate) AS INTEGER) AS "Year", CAST(month(l_shipdate) AS INTEGER) AS "Month",
+               count(*) AS lines, CAST(sum(l_orderkey) AS BIGINT) AS orders
+        FROM lineitem WHERE l_shipdate >= DATE '1998-11-15' AND l_shipdate < DATE '1999-02-15' GROUP BY ALL""",
     "exclude_bands": f"""
         SELECT CASE WHEN unit_age <= 40 THEN {band('unit_age', 10)} END AS "Age",
                count(*) AS lines
@@ -582,6 +586,12 @@ _SQL = {
     "counts_stratum_year": """
         SELECT "Subtype", "Year", CAST(sum("Count") AS BIGINT) AS "Count" FROM rates
         GROUP BY ALL""",
+    "cells_merged": """
+        SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS "Year", CAST(l_quantity AS INTEGER) AS unit_age,
+               CASE WHEN bool_and(l_extendedprice > 2000) THEN CAST(sum(l_linenumber) AS BIGINT) END AS discounted,
+               CAST(sum(l_orderkey) AS BIGINT) AS orders,
+               CAST(coalesce(sum(l_linenumber) FILTER (WHERE l_extendedprice > 2000), 0) AS BIGINT) AS known
+        FROM lineitem GROUP BY ALL""",
     "nonzero_cells": YOUNG,
     "preview_top30": YOUNG + ' ORDER BY "Year", unit_age, p_type LIMIT 30',
     "trend_points": f"""
@@ -670,6 +680,13 @@ _SQL = {
                CAST(CASE "Subtype" WHEN 'Total' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS INTEGER)
                    AS panel
         FROM asr WHERE "Subtype" IN ('Total', 'A', 'B')""",
+    "export_lines": """
+        SELECT "row", '"' || "row" || '",' || p_partkey || ','
+               || coalesce('"' || replace(type, '"', '""') || '"', 'NA') || ','
+               || coalesce(format('{:.15g}', price), 'NA') || ',' || CASE WHEN large THEN 'TRUE' ELSE 'FALSE' END AS line
+        FROM (SELECT *, row_number() OVER (ORDER BY type DESC NULLS LAST, p_partkey) AS "row"
+              FROM (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_type || ' "' || p_brand || '"' END AS type,
+                           CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS price, p_size > 25 AS large FROM part))""",
     "export_indexed": f"""
         SELECT row_number() OVER (ORDER BY corrected, "Subtype", "Year") AS "row", {SERIES}
         FROM asr""",

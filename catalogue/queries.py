@@ -6,6 +6,7 @@ decimals at the very end, because engines add in different orders.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from stratarates.operators.bands import (
     period_fractions,
     rollup_long,
 )
+from stratarates.operators.cells import cell_values, store_batch, stored_cells
 from stratarates.operators.classify import classify, label_rank, recode
 from stratarates.operators.counts import cell_counts, counts, with_totals
 from stratarates.operators.extracts import append_standardised_long
@@ -62,8 +64,9 @@ from stratarates.sources.headers import (
     select_containing,
 )
 from stratarates.sources.sheets import cast_all_strings, drop_metadata_rows, read_sheet
-from stratarates.sources.sinks import with_row_index
-from stratarates.sources.staging import stage
+from stratarates.sources.layout import read_by_date, write_by_date
+from stratarates.sources.sinks import csv_line, with_row_index
+from stratarates.sources.staging import stage, stage_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,6 +205,16 @@ def year_range(spark, sf):
     return rows.groupBy("Year").agg(F.count(F.lit(1)).alias("lines"), star.events())
 
 
+@query
+def year_range_laid_out(spark, sf):
+    """The same from a table laid out by date, of which other years and months are not read."""
+    path = stage_folder(spark, "lines-by-date")
+    write_by_date(table(spark, sf, "lineitem"), path, "l_shipdate", ["l_orderkey", "l_linenumber"])
+    rows = read_by_date(spark, path, datetime.date(1998, 11, 15), datetime.date(1999, 2, 15))
+    return rows.groupBy(F.year("l_shipdate").alias("Year"), F.month("l_shipdate").alias("Month")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_orderkey").alias("orders"))
+
+
 @query
 def exclude_bands(spark, sf):
     """Lines of the last five ages have no band here; they must survive."""
@@ -593,6 +606,22 @@ def counts_stratum_year(spark, sf):
     return _incidence(spark, sf).cases_by_stratum_year()
 
 
+@query
+def cells_merged(spark, sf):
+    """Yearly lines stored in two batches and merged; small discounts are unknown."""
+    keys, measures = ["l_returnflag", "Year", "unit_age"], ["discounted", "orders"]
+    rows = table(spark, sf, "lineitem").select(
+        "l_returnflag", F.year("l_shipdate").alias("Year"), F.col("l_quantity").cast("int").alias("unit_age"),
+        F.when(F.col("l_extendedprice") > 2000, F.col("l_linenumber")).alias("discounted"),
+        F.col("l_orderkey").alias("orders"))
+    path = stage_folder(spark, "cells")
+    store_batch(rows.where("orders % 2 = 0"), path, "even", keys, measures)
+    store_batch(rows.where("orders % 2 <> 0"), path, "odd", keys, measures)
+    states = stored_cells(spark, path, keys, measures)
+    strict, lenient = cell_values(states, keys, measures), cell_values(states, keys, ["discounted"], strict=False)
+    return strict.join(lenient.withColumnRenamed("discounted", "known"), keys)
+
+
 def _young(spark, sf, keys) -> DataFrame:
     """Events at single ages of the youngest band, zero cells dropped."""
     cells = star.type_cells(spark, sf).where(F.col("unit_age") <= 10)
@@ -761,3 +790,16 @@ def chart_mortality(spark, sf):
 def export_indexed(spark, sf):
     asr = _incidence(spark, sf).trend_series
     return with_row_index(asr, ["corrected", "Subtype", "Year"])
+
+
+@query
+def export_lines(spark, sf):
+    """The text lines of an export of all parts, some without a type or a price."""
+    parts = table(spark, sf, "part").select(
+        "p_partkey",
+        F.when(F.col("p_size") % 7 != 0, F.concat(F.col("p_type"), F.lit(' "'), F.col("p_brand"), F.lit('"'))).alias("type"),
+        F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice")).alias("price"),
+        (F.col("p_size") > 25).alias("large"),
+    )
+    numbered = with_row_index(parts, [F.col("type").desc_nulls_last(), "p_partkey"])
+    return numbered.select("row", csv_line(numbered, "row", parts.columns).alias("line"))

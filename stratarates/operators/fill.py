@@ -4,29 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: rows by which a range may differ, as a share of all
-QUANTILE_ERROR = 1e-3
-
-
-def _with_block(df: DataFrame, order: str, blocks: int) -> DataFrame:
-    """Number ranges of the order column; the cut points (at most ``blocks``
-    numbers) are approximate quantiles, so ranges hold about equally many rows.
-    They take a pass over the order column alone, when the plan is built; their
-    error, and so the size of what each task sends, does not depend on ``blocks``."""
-    cuts: list[float] = []
-    if blocks > 1:
-        probabilities = [i / blocks for i in range(1, blocks)]
-        cuts = sorted(set(df.select(order).approxQuantile(order, probabilities, QUANTILE_ERROR)))
-    if not cuts:
-        return df.withColumn("_block", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=order, outputCol="_block", handleInvalid="error")
-    return cut.transform(df)
+from stratarates.sources.headers import quoted
+from stratarates.sources.places import with_file
+from stratarates.sources.staging import stage
 
 
 def fill_forward(
@@ -34,44 +17,42 @@ def fill_forward(
 ) -> DataFrame:
     """Replace a NULL ``value`` by the last non-NULL one before it in its group.
 
-    ``order`` is a numeric column, not NULL and unique within a group.  Groups
-    may be arbitrarily large: the order column is cut into ``blocks`` ranges at
-    its quantiles, and rows are only ever sorted within one (group, block).
-    What earlier blocks hand over is one row per (group, block), found by a
-    map-side combined aggregate, and enters the sorted block as a leading row;
-    a single shuffle of the data therefore suffices.  In all the rows are read three
-    times: their order column for the cut points, then for the summary and for the
-    result.
+    ``order`` is any column that can be sorted, not NULL and unique within a group.  Groups
+    may be arbitrarily large: the rows are sorted by (group, order) in ``blocks`` ranges
+    (default: the session's shuffle partitions) and staged, so a large group lies in several
+    files.  Each file hands on one row per group, its last known value; what earlier files
+    know enters the rows of a file as a leading row.
+
+    The input is read once, to be sorted.  The staged rows are read twice: their group
+    and value for the files' last values, and the whole rows for the result, which are
+    shuffled by (group, file).  No quantiles are taken.
     """
-    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _with_block(df, order, blocks)
+    keys = [F.col(quoted(c)) for c in group]
+    by = [*keys, F.col(quoted(order))]
+    ranges = df.repartitionByRange(blocks, *by) if blocks else df.repartitionByRange(*by)
+    rows = with_file(stage(ranges.sortWithinPartitions(*by), "fill"))
 
-    last_known = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
-    earlier = (
-        Window.partitionBy(*group)
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    known = F.max_by(quoted(value), F.when(F.col(quoted(value)).isNotNull(), F.col("_at")))
+    earlier = Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*group, "_block")
-        .agg(last_known.alias("_last"))
+        rows.groupBy(*keys, "_file")
+        .agg(known.alias("_last"))
         .select(
-            *group,
-            "_block",
+            *keys,
+            "_file",
+            F.lit(-1).cast("long").alias("_at"),
             F.last("_last", ignorenulls=True).over(earlier).alias(value),
-            F.lit(True).alias("_carried"),
         )
-        .where(F.col(value).isNotNull())
+        .where(F.col(quoted(value)).isNotNull())
     )
     so_far = (
-        Window.partitionBy(*group, "_block")
-        .orderBy(F.col(order).asc_nulls_first())
+        Window.partitionBy(*keys, "_file")
+        .orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("_carried", F.lit(False))
-        .unionByName(carried, allowMissingColumns=True)
-        .withColumn(value, F.last(value, ignorenulls=True).over(so_far))
-        .where(~F.col("_carried"))
-        .select(*df.columns)
+        rows.unionByName(carried, allowMissingColumns=True)
+        .withColumn(value, F.last(F.col(quoted(value)), ignorenulls=True).over(so_far))
+        .where("_at >= 0")
+        .select(*[F.col(quoted(c)) for c in df.columns])
     )

@@ -1,9 +1,13 @@
+import datetime
 import os
 
 import pytest
 from helpers import plan_of, rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratarates.functions.dates import in_years
+
 from stratarates.sources.headers import (
     clean_names,
     drop_containing,
@@ -19,7 +23,8 @@ from stratarates.sources.sheets import (
     drop_metadata_rows,
     read_sheet,
 )
-from stratarates.sources.sinks import with_row_index, write_indexed_csv
+from stratarates.sources.layout import read_by_date, read_years, write_by_date
+from stratarates.sources.sinks import number_text, with_row_index, write_indexed_csv
 
 
 @pytest.mark.parametrize(
@@ -231,11 +236,101 @@ def test_row_index_runs_on_over_files(spark):
     assert got == [(at + 1, *row) for at, row in enumerate(want)]
 
 
+def part_lines(folder):
+    parts = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
+    return [open(os.path.join(folder, p), encoding="utf-8").read().splitlines() for p in parts]
+
+
 def test_indexed_csv(spark, tmp_path):
-    df = spark.createDataFrame([("x, y", 2.5), ('q"q', None), ("a", 1.0)], "s string, v double")
+    df = spark.createDataFrame(
+        [("x, y", 2.5, True, 7), ('q"q', None, None, None), ("a", 1.0, False, 0), ("", 1e5, True, 1), (None, 0.1, True, 2),
+         ("NA", float("nan"), True, 3)],
+        "s string, v double, b boolean, n int",
+    )
     out = str(tmp_path / "out")
     write_indexed_csv(df, out, ["s"])
-    parts = sorted(p for p in os.listdir(out) if p.endswith(".csv"))
-    lines = [l for p in parts for l in open(os.path.join(out, p), encoding="utf-8").read().splitlines()]
-    body = [l for l in lines if not l.startswith('"",')]
-    assert body == ["1,a,1.0", '2,"q""q",NA', '3,"x, y",2.5']
+    parts = part_lines(out)
+    assert all(part[0] == '"","s","v","b","n"' for part in parts)
+    assert [line for part in parts for line in part[1:]] == [
+        '"1",NA,0.1,TRUE,2', '"2","",1e+05,TRUE,1', '"3","NA",NaN,TRUE,3', '"4","a",1,FALSE,0', '"5","q""q",NA,NA,NA',
+        '"6","x, y",2.5,TRUE,7',
+    ]
+    write_indexed_csv(df.where("false"), out, ["s"])
+    assert part_lines(out) == [['"","s","v","b","n"']]
+
+
+def test_indexed_csv_of_several_parts(spark, tmp_path):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    out = str(tmp_path / "out")
+    try:
+        df = spark.range(1000).selectExpr("IF(id % 3 = 0, 'hot', 'k' || id % 5) AS g", "1000 - id AS n").repartition(5)
+        write_indexed_csv(df, out, ["g", "n"])
+        text = spark.read.option("header", True).option("nullValue", "NA").csv(out)
+        assert text.count() == 1000
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    parts = part_lines(out)
+    assert len(parts) == 7 and all(len(p) > 1 for p in parts)
+    want = sorted(("hot" if i % 3 == 0 else f"k{i % 5}", 1000 - i) for i in range(1000))
+    assert [line for part in parts for line in part[1:]] == [f'"{n}","{g}",{v}' for n, (g, v) in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize(
+    "x, want",
+    [(0.0, "0"), (-2.5, "-2.5"), (100000.0, "1e+05"), (123456.0, "123456"), (1e15, "1e+15"), (0.0001, "1e-04"),
+     (0.00012, "0.00012"), (1 / 3, "0.333333333333333"), (2 / 3 * 1e-7, "6.66666666666667e-08"), (1e-300, "1e-300"),
+     (1234567890123456.0, "1234567890123456"), (1.5e19, "1.5e+19"), (float("-inf"), "-Inf"), (99.99, "99.99"), (10.0, "10"), (1e300, "1e+300")],
+)
+def test_number_texts_of_exports(spark, x, want):
+    assert spark.range(1).select(number_text(F.lit(x)).alias("v")).first()["v"] == want
+
+
+def scanned(df):
+    """Rows that the scans of a plan without exchanges gave to the next operator."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+@pytest.fixture(scope="module")
+def laid_out(spark, sf_dir, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("layout") / "lines")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    nameless = lines.limit(5).withColumn("l_shipdate", F.lit(None).cast("timestamp_ntz"))
+    write_by_date(lines.unionByName(nameless), path, "l_shipdate", ["l_orderkey"], files=40)
+    return path, lines
+
+
+def test_a_year_cut_reads_that_year(spark, laid_out):
+    path, lines = laid_out
+    assert sorted(read_by_date(spark, path).columns) == sorted(lines.columns)
+    assert read_by_date(spark, path).count() == lines.count() + 5
+    for first, last in ((1997, 1997), (1996, 1998)):
+        cut = read_years(spark, path, first, last)
+        want = lines.where(F.year("l_shipdate").between(first, last))
+        assert cut.exceptAll(want.select(cut.columns)).count() == 0 and cut.count() == want.count()
+        assert scanned(cut) == cut.count()  # nothing of another year
+    assert scanned(read_years(spark, path, 1997, 1997)) < lines.count() / 5
+    assert scanned(lines.where(in_years("l_shipdate", 1997, 1997))) == lines.count()
+
+
+def test_a_month_cut_skips_files_of_the_year(spark, laid_out):
+    path, lines = laid_out
+    cut = read_by_date(spark, path, datetime.date(1997, 3, 1), datetime.date(1997, 4, 1))
+    assert cut.count() == lines.where("date_trunc('month', l_shipdate) = '1997-03-01'").count() > 0
+    assert scanned(cut) < scanned(read_years(spark, path, 1997, 1997)) / 2
+    assert read_by_date(spark, path, None, datetime.date(1990, 1, 1)).count() == 0
+
+
+def test_a_day_with_a_third_of_all_rows_fills_several_files(spark, tmp_path):
+    day = "IF(id % 3 = 0, DATE'2001-05-05', DATE'2001-01-01' + CAST(id % 300 AS INT))"
+    rows = spark.range(9000).selectExpr("id", f"{day} AS d")
+    path = str(tmp_path / "hot")
+    write_by_date(rows, path, "d", files=9)
+    hot = spark.read.parquet(path).where("d = '2001-05-05'").select(F.input_file_name()).distinct().count()
+    assert hot >= 3 and rows.exceptAll(read_by_date(spark, path)).count() == 0
