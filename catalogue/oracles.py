@@ -226,11 +226,13 @@ def thousandths(n: str) -> str:
 
 
 def rounded_two(x: str) -> str:
-    low, high = f"(floor(abs({x}) * 100.0::DOUBLE) / 100)", f"(ceil(abs({x}) * 100.0::DOUBLE) / 100)"
-    even = f"CAST(floor(abs({x}) * 100.0::DOUBLE) AS BIGINT) % 2 = 0"
-    return f"""(CASE WHEN abs({x}) - {low} < {high} - abs({x})
-                      OR (abs({x}) - {low} = {high} - abs({x}) AND {even})
-                     THEN {low} ELSE {high} END * sign({x}) + 0.0::DOUBLE)"""
+    """Two decimals from the digits of the number's exact expansion."""
+    text = f"format('{{:.80f}}', abs({x}))"
+    behind = f"split_part({text}, '.', 2)"
+    kept = f"CAST(split_part({text}, '.', 1) || substr({behind}, 1, 2) AS BIGINT)"
+    rest, half = f"substr({behind}, 3)", f"'5{'0' * 77}'"
+    up = f"CASE WHEN {rest} > {half} OR ({rest} = {half} AND {kept} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(({kept} + {up}) / 100.0::DOUBLE * sign({x}) + 0.0::DOUBLE)"
 
 
 CTES |= {
@@ -564,6 +566,17 @@ _SQL = {
                           FROM (SELECT "Year", "Subtype", sum(w) AS s FROM weighted_levels
                                 WHERE "Subtype" IN ('A', 'B', 'C') GROUP BY ALL)) p
                     ON u."Year" = p."Year"))""",
+    "reallocate_parts": """
+        SELECT "Year", unit_age, l_partkey,
+               CAST(floor(raw) + CASE WHEN place <= n - floors THEN 1 ELSE 0 END AS BIGINT) AS "Count"
+        FROM (SELECT *, sum(floor(raw)) OVER (PARTITION BY "Year", unit_age) AS floors,
+                     row_number() OVER (PARTITION BY "Year", unit_age ORDER BY raw - floor(raw) DESC, l_partkey) AS place
+              FROM (SELECT u."Year", unit_age, l_partkey, n, n * proportion AS raw
+                    FROM (SELECT "Year", unit_age, sum(lines) AS n FROM type_cells
+                          WHERE p_type = 'STANDARD' AND unit_age <= 10 GROUP BY ALL) u
+                    JOIN (SELECT "Year", l_partkey, CAST(s AS DOUBLE) / sum(s) OVER (PARTITION BY "Year") AS proportion
+                          FROM (SELECT "Year", l_partkey, count(*) AS s FROM lines GROUP BY ALL)) p
+                    ON u."Year" = p."Year"))""",
     "rollup_sparse": f"""
         SELECT l_suppkey, "Year", b.band AS "Age", CASE WHEN count(c.n) = 5 THEN CAST(sum(c.n) AS BIGINT) END AS pop
         FROM (SELECT DISTINCT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS "Year" FROM lineitem) k
@@ -618,6 +631,11 @@ _SQL = {
         SELECT "Year" AS "year", round(modeled, 6) AS modeled_agespecificrate,
                "Cohort" AS age, 'Joinpoint' AS observed, point AS joinpoint
         FROM age_points WHERE point IS NOT NULL""",
+    "round_exact": f"""
+        SELECT p_partkey, {rounded_two('eighths')} AS eighths, {rounded_two('fifths')} AS fifths,
+               {rounded_two('price')} AS price
+        FROM (SELECT p_partkey, (p_partkey - 1000) / 8.0::DOUBLE AS eighths,
+                     (p_partkey * 10 + 5) / 1000.0::DOUBLE AS fifths, p_retailprice / 7.0::DOUBLE AS price FROM part)""",
     "aapc_label": """
         SELECT p_partkey,
                CASE WHEN starts_with(fixed, '-') THEN 'APC=' ELSE 'APC= ' END || fixed

@@ -22,6 +22,7 @@ from stratarates.functions.text import (
     before,
     hyphen_to_en_dash,
     mend_en_dash,
+    round_half_even,
 )
 from stratarates.operators import trends
 from stratarates.operators.bands import (
@@ -43,7 +44,12 @@ from stratarates.operators.rates import (
     standard,
     standardised_rates,
 )
-from stratarates.operators.reallocate import reallocate, stratum_shares
+from stratarates.operators.reallocate import (
+    reallocate,
+    reallocate_many,
+    shares_of_all,
+    stratum_shares,
+)
 from stratarates.operators.reshape import (
     lengthen,
     lengthen_by_pattern,
@@ -583,6 +589,16 @@ def reallocate_weighted(spark, sf):
     return reallocate(unspecified, shares, keep_parts=True)
 
 
+@query
+def reallocate_parts(spark, sf):
+    """Lines of unspecified type at single ages, dealt out to all parts of the year."""
+    unspecified = star.type_cells(spark, sf).where((F.col("p_type") == SETTINGS.unspecified) & (F.col("unit_age") <= 10))
+    by_part = stage(star.lines(spark, sf).groupBy("Year", "l_partkey").agg(F.count(F.lit(1)).alias("Count")), "by-part")
+    shares = shares_of_all(by_part, stratum="l_partkey")
+    named = unspecified.withColumnRenamed("lines", "Count")
+    return reallocate_many(named, shares, ["Year", "unit_age"], stratum="l_partkey")
+
+
 @query
 def rollup_sparse(spark, sf):
     """Suppliers have no lines at many ages: a band that lacks one is NULL."""
@@ -710,6 +726,19 @@ def aapc_label(spark, sf):
     return parts.select("p_partkey", trends.aapc_label("AAPC").alias("label"))
 
 
+@query
+def round_exact(spark, sf):
+    """Two decimals of true ties (eighths), of ties only in print, and of sevenths."""
+    parts = table(spark, sf, "part").select(
+        "p_partkey",
+        ((F.col("p_partkey") - 1000) / 8.0).alias("eighths"),
+        ((F.col("p_partkey") * 10 + 5) / 1000.0).alias("fifths"),
+        (F.col("p_retailprice") / 7.0).alias("price"),
+    )
+    numbers = [(round_half_even(c, 2) + 0.0).alias(c) for c in ("eighths", "fifths", "price")]
+    return parts.select("p_partkey", *numbers)
+
+
 @query
 def aapc_label_padded(spark, sf):
     labelled = trends.with_padded_aapc_label(star.part_aapc(spark, sf))

@@ -38,18 +38,36 @@ def drop_trailing_star(c: Column | str) -> Column:
 
 
 def round_half_even(c: Column | str, digits: int) -> Column:
-    """Round to the nearer of the two neighbouring decimals; a tie, judged in
-    double arithmetic, goes to the even one.  (``bround`` judges the tie on the
-    printed decimal, so 2.675 would give 2.68 instead of 2.67.)"""
-    size = F.abs(as_col(c))
-    scaled = size * (10.0**digits)
-    below = F.floor(scaled).cast("double") / (10.0**digits)
-    above = F.ceil(scaled).cast("double") / (10.0**digits)
-    to_below, to_above = size - below, above - size
-    take_below = (to_below < to_above) | (
-        (to_below == to_above) & (F.floor(scaled) % 2 == 0)
-    )
-    return F.when(take_below, below).otherwise(above) * F.signum(as_col(c))
+    """Round a DOUBLE to ``digits`` decimals (0 to 12): to the nearer decimal of its exact
+    value, and a tie of that, as 0.125 is one, to the even digit.
+
+    A printed tie is seldom one: 2.675 is a little less than it says and gives 2.67.  So the
+    exact value is taken apart as ``m / 2**s`` with whole m, and ``m * 10**digits``
+    is divided by ``2**s`` in whole numbers, with a remainder to compare with one half.
+    """
+    if not 0 <= digits <= 12:
+        raise ValueError("digits must be between 0 and 12")
+    x = as_col(c).cast("double")
+    size = F.abs(x)
+    # one bit more than needed, should the logarithm be off at a power of two
+    shift = (F.lit(53) - F.floor(F.log2(size))).cast("int")
+    mantissa = (size * F.pow(F.lit(2.0), shift.cast("double"))).cast("bigint")
+
+    def power(bits: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits).cast("decimal(19,0)")
+
+    divisor = power(F.least(shift, F.lit(60))) * power(F.greatest(shift - 60, F.lit(0)))
+    scaled = mantissa.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(19,0)")
+    quotient = F.call_function("div", scaled, divisor)
+    twice = (scaled % divisor) * F.lit(2).cast("decimal(1,0)")
+    up = (twice > divisor) | ((twice == divisor) & (quotient % 2 == 1))
+    rounded = (quotient + up.cast("int")).cast("double") / 10.0**digits
+    return (
+        # from there on doubles lie further apart than the decimals: x is the nearest
+        F.when(F.isnan(x) | (size >= 2.0**53 / 10**digits), size)
+        .when(size < 0.25 / 10**digits, F.lit(0.0))
+        .otherwise(rounded)
+    ) * F.signum(x)
 
 
 def fixed_decimals(c: Column | str, digits: int) -> Column:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarates.functions.nulls import lenient_sum, safe_div, strict_sum
 from stratarates.operators.classify import BLANK
+from stratarates.sources.places import with_places
+from stratarates.sources.staging import stage
 
 
 def stratum_shares(
@@ -72,6 +76,85 @@ def reallocate(
     return parts.select(*kept)
 
 
+def shares_of_all(
+    df: DataFrame,
+    by: str = "Year",
+    stratum: str = "Subtype",
+    measure: str = "Count",
+) -> DataFrame:
+    """:func:`stratum_shares` of all strata, of which there may be millions: the total is a
+    second aggregate joined back, not a window over the strata."""
+    sums = df.groupBy(by, stratum).agg(strict_sum(measure).alias("_n"))
+    totals = df.groupBy(by).agg(strict_sum(measure).alias("_total"))
+    return sums.join(totals, by).select(by, stratum, safe_div("_n", "_total").alias("proportion"))
+
+
+#: remainders are counted in so many buckets per cell
+BUCKETS = 4096
+
+
+def reallocate_many(
+    unspecified: DataFrame,
+    shares: DataFrame,
+    cell: Sequence[str] = ("Year", "Age"),
+    by: str = "Year",
+    stratum: str = "Subtype",
+    measure: str = "Count",
+) -> DataFrame:
+    """:func:`reallocate` for cells of any number of strata: (cell, stratum, measure).
+
+    Which strata get one more unit is a selection, the strata of a cell with the largest
+    fractions up to its remainder, and needs no sort of the cell.  A histogram of the
+    fractions, counted map-side, finds the bucket in which the last unit falls: strata in
+    higher buckets get a unit, those in lower ones none.  Only that bucket is ranked, by
+    fraction and then stratum, and if all strata of a cell tie there, by a sort over ranges
+    of rows whose places come from their positions on disk.
+    """
+    cells = unspecified.groupBy(*cell).agg(strict_sum(measure).alias("n"))
+    raw = F.col("n") * F.col("proportion")
+    parts = stage(
+        cells.join(shares, by)
+        .select(*cell, stratum, "n", F.floor(raw).cast("double").alias("_floor"), (raw - F.floor(raw).cast("double")).alias("_rest"))
+        .withColumn("_bucket", F.coalesce(F.floor(F.col("_rest") * BUCKETS).cast("int"), F.lit(-1))),
+        "parts",
+    )
+    # per cell and bucket: at most BUCKETS + 1 rows for a cell
+    counted = parts.groupBy(*cell, "_bucket").agg(F.count(F.lit(1)).alias("_strata"), F.sum("_floor").alias("_floors"), F.first("n").alias("n"))
+    whole = Window.partitionBy(*cell)
+    higher = whole.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("n") - F.sum("_floors").over(whole)
+    edge = (
+        counted.select(
+            *cell,
+            "_bucket",
+            "_strata",
+            left.alias("_left"),
+            F.coalesce(F.sum("_strata").over(higher), F.lit(0)).alias("_higher"),
+        )
+        .where(F.col("_higher") < F.col("_left"))
+        .groupBy(*[F.col(c).alias(f"_{c}") for c in cell])
+        .agg(F.min(F.struct("_bucket", "_higher", "_strata", "_left")).alias("_edge"))
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell])
+    at = F.col("_edge._bucket")
+    split = F.col("_edge._higher") + F.col("_edge._strata") > F.col("_edge._left")
+    rows = parts.join(edge, same, "left").withColumns({
+        "_more": F.coalesce(F.col("_bucket") >= at, F.lit(False)),
+        "_ranked": F.coalesce((F.col("_bucket") == at) & split, F.lit(False)),
+    })
+    kept = [*cell, stratum, "n", "_floor", "_more"]
+    tied = rows.where("_ranked").select(
+        *cell, stratum, "n", "_floor", "_rest", F.col("_edge._higher").alias("_higher"), F.col("_edge._left").alias("_left")
+    )
+    order = [*cell, F.desc("_rest"), stratum]
+    placed = with_places(stage(tied.orderBy(*order), "tied"), cell, "_place")
+    chosen = placed.withColumn("_more", F.col("_higher") + F.col("_place") + 1 <= F.col("_left"))
+    both = rows.where("NOT _ranked").select(*kept).unionByName(chosen.select(*kept))
+    kind = cells.schema["n"].dataType
+    count = (F.col("_floor") + F.col("_more").cast("int")).cast(kind).alias(measure)
+    return both.select(*cell, stratum, count)
+
+
 def append_reallocated(
     df: DataFrame, reallocated: DataFrame, stratum: str = "Subtype", blank: str = BLANK
 ) -> DataFrame:

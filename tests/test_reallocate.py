@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 import pytest
-from helpers import rows
+from helpers import plan_of, rows
 from pyspark.sql import functions as F
 
 from stratarates.operators.classify import classify, label_rank, recode, split_in_two
@@ -9,6 +10,8 @@ from stratarates.operators.counts import cell_counts, counts, with_totals
 from stratarates.operators.reallocate import (
     append_reallocated,
     reallocate,
+    reallocate_many,
+    shares_of_all,
     stratum_shares,
     unspecified_share,
 )
@@ -158,3 +161,49 @@ def test_with_totals(spark):
     assert rows(got.select("code", "Year", "Count", "ALLUterineCancers")) == sorted(
         [("x", 1, 2.5, 4.0), ("y", 1, 1.0, 4.0), ("UNKNOWN", 1, 0.5, 4.0), (None, 1, 4.0, 4.0),
          ("x", 2, 1.0, 1.0), (None, 2, 1.0, 1.0)], key=repr)
+
+
+def parts_of(df):
+    return sorted((r["Year"], r["Age"] or "", r["Subtype"], r["Count"]) for r in df.collect())
+
+
+def test_many_strata_are_chosen_like_few(spark):
+    """Ties across and within cells, a NULL share, a NULL cell, fractions and nothing left over."""
+    rng = random.Random(3)
+    shares = [(y, f"s{k:03d}", rng.choice((0.001, 0.0025, 0.01, rng.random() / 60))) for y in (1, 2) for k in range(120)]
+    shares += [(3, f"s{k}", 0.25) for k in range(4)] + [(4, "a", None), (4, "b", 0.5)]
+    cells = [(y, a, n) for y in (1, 2) for a, n in (("x", 700), ("y", 3), ("z", 0), (None, 95))]
+    cells += [(3, "x", 6), (3, "y", 8), (4, "x", 3), (5, "x", 9), (1, "w", None)]
+    for kind in ("long", "double"):
+        unspecified = spark.createDataFrame([(y, a, n if kind == "long" or n is None else n + 0.75) for y, a, n in cells],
+                                            f"Year int, Age string, Count {kind}")
+        of = spark.createDataFrame(shares, "Year int, Subtype string, proportion double").repartition(3)
+        want = parts_of(reallocate(unspecified, of))
+        got = reallocate_many(unspecified, of)
+        assert parts_of(got) == want and got.schema["Count"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+
+
+def test_a_cell_of_a_million_strata(spark):
+    """Two thirds of the strata tie in the bucket where the last unit falls."""
+    n, units = 1_000_000, 2_400_000
+    weight = "CASE id % 3 WHEN 0 THEN 3 ELSE 2 END"
+    of = spark.range(n).selectExpr("1 AS Year", "lpad(id, 7, '0') AS Subtype", f"{weight} AS Count").repartition(8)
+    unspecified = spark.createDataFrame([(1, "x", units)], "Year int, Age string, Count long")
+    shares = shares_of_all(of)
+    got = reallocate_many(unspecified, shares).toPandas().sort_values("Subtype")["Count"].to_numpy()
+    counts = np.where(np.arange(n) % 3 == 0, 3, 2)
+    raw = units * (counts / counts.sum())
+    low = np.floor(raw)
+    order = np.lexsort((np.arange(n), -(raw - low)))
+    want = low.copy()
+    want[order[: int(units - low.sum())]] += 1
+    assert (got == want).all() and got.sum() == units
+
+
+def test_no_window_holds_the_strata_of_a_cell(spark):
+    of = spark.range(50).selectExpr("1 AS Year", "CAST(id AS STRING) AS Subtype", "0.02D AS proportion")
+    unspecified = spark.createDataFrame([(1, "x", 75)], "Year int, Age string, Count long")
+    plan = plan_of(reallocate_many(unspecified, of))
+    for line in plan.splitlines():  # windows are over buckets and files
+        if "Window [" in line:
+            assert "_strata" in line or "_rows" in line or "_floors" in line, line

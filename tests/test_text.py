@@ -1,3 +1,6 @@
+import decimal
+import random
+
 import pytest
 from helpers import values
 from pyspark.sql import functions as F
@@ -35,6 +38,32 @@ def test_round_goes_to_the_nearer_decimal_and_ties_to_even(spark, x, want):
     assert one(spark, round_half_even(F.lit(x), 2)) == want
 
 
+def exact(x, digits):
+    step = decimal.Decimal(1).scaleb(-digits)
+    return float(decimal.Decimal(x).quantize(step, decimal.ROUND_HALF_EVEN, decimal.Context(prec=400)))
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3, 7, 12])
+def test_rounding_equals_that_of_the_exact_expansion(spark, digits):
+    rng = random.Random(digits)
+    step = 10.0**-digits
+    numbers = [k * step + half * step / 2 for k in range(-60, 60) for half in (0, 1)]
+    numbers += [n / 2**k for n in range(-40, 41) for k in (1, 2, 3, 4, 9)]
+    numbers += [2.0**k * s for k in range(-60, 70) for s in (1, 1 - 2**-53, 1 + 2**-52)]
+    numbers += [rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-15, 9) for _ in range(4000)]
+    numbers += [0.0, 5e-324, 1e308, 2.0**53 - 0.5, 4503599627370495.5, 0.285, 1.115, 5.015, 1.005, 2.675]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for r in df.select("x", round_half_even("x", digits).alias("v")).collect():
+        assert r["v"] == exact(r["x"], digits), r
+
+
+def test_rounding_of_no_numbers(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double")
+    assert repr(values(df.select(round_half_even("x", 2).alias("v")), "v")) == "[None, nan, inf, -inf]"
+    with pytest.raises(ValueError):
+        round_half_even("x", 13)
+
+
 def test_number_texts(spark):
     df = spark.createDataFrame([(1.2,), (10.0,), (-0.001,), (1234.567,), (None,)], "x double")
     assert values(df.select(fixed_decimals("x", 2).alias("v")), "v") == [
