@@ -265,6 +265,24 @@ def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids
     return _map(df, ids, [("decoded", T.BinaryType())], make)
 
 
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of the same workers: appends ``ids``, ``n_tokens``
+    and ``decoded``."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def make():
+        codec = _codec(shared, pattern)
+
+        def each(column: pa.Array) -> list[pa.Array]:
+            packed = [codec.encode(t or "") for t in column.to_pylist()]
+            return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array([codec.decode(p) for p in packed], pa.binary())]
+
+        return each
+
+    return _map(df, text, [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("decoded", T.BinaryType())], make)
+
+
 def unpack(packed: bytes) -> list[int]:
     out = array("I")
     out.frombytes(packed)

@@ -9,14 +9,18 @@ are candidates.
 
 Candidates are resolved in two rounds, without pairing up all members of a band:
 
-1. every member of a band is paired with the band's first member and with the one before
-   it, so a band of n members gives at most 2n pairs;
+1. every member of a band is paired with the band's first member, and with the one before
+   it in its part of the band (parts hold about ``PART`` members, by hash, so no task orders a
+   large band); a band of n members gives at most 2n pairs;
 2. once components are known, only members of a band that still lie in different
    components are compared, in blocks of bounded size: first by the collision-corrected
    estimate, then on full sets, and only links that join two components are passed on.
 
 Pairs of both rounds are confirmed on full sets: an estimate only drops pairs that lie more
-than ``MARGIN`` below the threshold.  Two members of one component need no comparison, as
+than ``DEVIATIONS`` standard deviations below the threshold.  An estimate rests on as many
+registers as are not borrowed, at most one per shingle, so its deviation is that of the
+smaller set.  A linked pair misses each band with less than one chance in 10,000 and
+is dropped by the estimate with about one in 30,000; all else is exact.  Two members of one component need no comparison, as
 a link between them would change nothing.  Components are found by alternating
 large-star and small-star steps with a checkpoint after each.
 
@@ -42,8 +46,9 @@ from stratarates.llm.words import NOT_SPACE, Words, chunks, mix
 
 BUCKETS, MANTISSA = 256, 10
 BAND, BANDS = 7, 36
-#: four standard deviations of an estimate from all registers at a similarity of 0.85
-MARGIN = 0.09
+DEVIATIONS = 4
+#: members of a band that are ordered in one group
+PART = 4096
 #: shingles of a band's members that a task compares with as many others at a time
 BLOCK = 500_000
 #: stands for a null key meanwhile
@@ -104,6 +109,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((same - by_chance) / (1 - by_chance), 0, 1)
 
 
+def least_estimate(threshold: float, n: np.ndarray) -> np.ndarray:
+    """What a pair at the threshold is estimated at least; ``n``: sizes of the smaller sets."""
+    return threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.minimum(n, BUCKETS))
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, tag, text) without nulls: the tag tells apart texts of one key."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -161,11 +171,19 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def shared_bands(of: DataFrame) -> DataFrame:
+    """(band, number, node, first, members) of bands with several members: the members are
+    counted and the first is found map-side, and joined back with a join that AQE may split."""
+    kinds = of.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
+    return of.join(kinds, "band").select("band", "number", "node", "first", "members")
+
+
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """Each member of a band with the band's first and with its predecessor."""
-    order = Window.partitionBy("band").orderBy("node")
-    rows = shared.select(F.col("node").alias("b"), F.first("node").over(order).alias("first"),
-                         F.lag("node").over(order).alias("before"))
+    """Each member of a band with the band's first and with its predecessor in its part."""
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(PART)).cast("long")).cast("int")
+    order = Window.partitionBy("band", "part").orderBy("node")
+    rows = shared.withColumn("part", part).select(
+        F.col("node").alias("b"), "first", F.lag("node").over(order).alias("before"))
     return _pairs(rows.select("b", F.explode(F.array("first", "before")).alias("a")))
 
 
@@ -181,7 +199,8 @@ def near_threshold(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
                     for c in ("r_a", "r_b"))
-            keep = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least - MARGIN
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            keep = estimate(a, b, n_a, n_b) >= least_estimate(least, np.minimum(n_a, n_b))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a binary, b binary")
@@ -278,7 +297,8 @@ def cross_links(shared: DataFrame, nodes: DataFrame, full: DataFrame, labels: Da
         a, b = [], []
         for v in np.flatnonzero(visitor).tolist():
             other = here[(group[here] != group[v]) & (np.minimum(n[here], n[v]) >= least * np.maximum(n[here], n[v]))]
-            other = other[estimate(sketch[other], sketch[v], n[other], n[v]) >= least - MARGIN]
+            bound = least_estimate(least, np.minimum(n[other], n[v]))
+            other = other[estimate(sketch[other], sketch[v], n[other], n[v]) >= bound]
             if number and len(other):
                 earlier = (before[other] == before[v]).reshape(len(other), number, BAND).all(axis=2).any(axis=1)
                 other = other[~earlier]
@@ -310,10 +330,7 @@ def _labels(rows: DataFrame, width: int, threshold: tuple[int, int]) -> DataFram
         sets(rows, width).where("node is not null").groupBy("node")
         .agg(F.first("n").alias("n"), F.first("registers").alias("registers"),
              F.min(F.struct("doc_id", "tag")).alias("text_of")), "near-nodes")
-    size = Window.partitionBy("band")
-    shared = scratch.stage(
-        bands(nodes).withColumn("members", F.count("*").over(size)).where("members > 1").drop("members"),
-        "near-bands")
+    shared = scratch.stage(shared_bands(bands(nodes)), "near-bands")
     candidates = shared.select("node").distinct()
     sketched = scratch.stage(nodes.join(candidates, "node", "left_semi"), "near-sketches")
     full = scratch.stage(_full_sets(rows, sketched, width), "near-sets")
@@ -338,7 +355,9 @@ def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _full_sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of ``nodes``, each from one of its texts."""
-    texts = rows.join(nodes.select("text_of.doc_id", "text_of.tag"), ["doc_id", "tag"], "left_semi")
+    wanted = nodes.select("text_of.doc_id", "text_of.tag")
+    # by shuffle at every size, so that memory and disk grow with the input alone
+    texts = rows.join(wanted.hint("merge"), ["doc_id", "tag"], "left_semi")
     return sets(texts, width, full=True).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -369,8 +388,10 @@ def representatives(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         (F.col("label").isNotNull() & (F.struct("doc_id", "tag") != F.col("first"))).alias("gone"))
     apart = docs.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)),
                               "__tag": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
-    once = apart.join(judged.where("gone or times > 1"), ["__key", "__tag"], "left_anti")
+    # the texts are shuffled once, at every size; both branches below read the same join
+    both = apart.join(judged.where("gone or times > 1").hint("merge"), ["__key", "__tag"], "left").where(
+        "NOT coalesce(gone, false)")
+    once = both.where("times IS NULL")
     same = F.when(F.col("__bare"), F.xxhash64(F.to_json(F.struct(*docs.columns))))
-    repeated = (apart.join(judged.where("not gone and times > 1").select("__key", "__tag", "__bare"), ["__key", "__tag"])
-                .withColumn("__same", same).dropDuplicates(["__key", "__tag", "__same"]))
+    repeated = both.where("times IS NOT NULL").withColumn("__same", same).dropDuplicates(["__key", "__tag", "__same"])
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratarates.sources import staging
 
 release = staging.release
+staged = staging.staged
 folder = staging.stage_folder
 
 

@@ -7,6 +7,7 @@ prefix sums modulo 2**64, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
            limit: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds ``rows`` texts of ``limit`` bytes, or one longer text."""
+    """Cut batches so that each holds ``rows`` texts of ``limit`` bytes, or one longer text.
+    At the end the worker gives back what it kept for them."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,6 +78,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
             stop = min(max(stop, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Free what a worker keeps between tasks, and let the allocators return unused pages: an
+    idle worker stays alive for a while beside those of the next stage."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
