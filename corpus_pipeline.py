@@ -53,8 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
-    decoded = bpe.decode(encoded, ranks, pattern)
+    decoded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
@@ -75,5 +74,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch.workers_find_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.stage(stage(spark, docs, sf_dir), name)
+        before = scratch.staged()
+        made = stage(spark, docs, sf_dir)
+        working = scratch.staged() - before
+        docs = scratch.stage(made, name)
+        scratch.release(only=working)  # the stage's own tables: its result is written
     return STAGES[-1][1](spark, docs, sf_dir)
