@@ -22,7 +22,7 @@ classes every score is the share of the toxic among them, or 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratarates.llm import scratch
 from stratarates.llm.words import ALNUM, Words, chunks, mix
 
 WORDS, PREFIXES, LENGTHS = 1 << 18, 1 << 16, (3, 4, 5, 6)
@@ -119,8 +120,9 @@ def _words(column: pa.Array) -> Words:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, fold: int, key: str, text: str, label: str) -> DataFrame:
-    """(text, toxic) of labelled rows of a fold.  The labels sent to the tasks are at most
-    about ``LABELLED`` rows of two numbers."""
+    """(text, toxic) of the labelled keys of a fold, at most about ``LABELLED`` rows: a key that
+    repeats counts once, with the least of its texts, chosen map-side.  The labels sent to the
+    tasks are as many rows of two numbers."""
     known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
              .groupBy(F.col(key).cast("long").alias("key")).agg(F.max(F.col(label)).cast("int").alias("toxic")))
     known = known.where(F.crc32(F.col("key").cast("string")) % 3 == fold)
@@ -128,7 +130,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, fold: int, key: str, text: str
     if n > LABELLED:
         known = known.where(F.abs(F.xxhash64("key") % 1_000_000) < int(1_000_000 * LABELLED / n))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.join(F.broadcast(known), "key").select("text", "toxic")
+    found = rows.join(F.broadcast(known), "key").groupBy("key").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return scratch.stage(found.select("text", "toxic"), "labelled")
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -157,22 +160,26 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return toxic, total
 
 
-def _calibrated(rows: DataFrame, model: Model) -> Model:
-    """Extreme-value parameters from clean texts, then the logistic curve."""
+def _figures(rows: DataFrame, model: Model, of: Callable[[list[Segment], int], float]) -> tuple[np.ndarray, ...]:
+    """(toxic, words, figure) of each labelled row: three numbers of at most ``LABELLED`` rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             w = _words(chunk.column("text"))
-            segments = [[s.score for s in found] for found in _documents(w, shared.value)]
+            figures = [of(found, n) for found, n in zip(_documents(w, shared.value), w.count.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("toxic"), pa.array(w.count.astype(np.int64)),
-                 pa.array(segments, pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
+                [chunk.column("toxic"), pa.array(w.count.astype(np.int64)), pa.array(figures, pa.float64())],
+                names=["toxic", "n", "figure"])
+
+    found = rows.mapInArrow(run, "toxic int, n long, figure double").toArrow()
+    return tuple(found.column(c).to_numpy() for c in ("toxic", "n", "figure"))
 
-    found = rows.mapInArrow(run, "toxic int, n long, scores array<double>").toArrow()  # at most LABELLED rows
-    y, n = found.column("toxic").to_numpy(), found.column("n").to_numpy()
-    scores = [np.array(s.as_py()) for s in found.column("scores")]
-    best = np.array([s.max() if len(s) else 0.0 for s in scores])
+
+def _calibrated(rows: DataFrame, model: Model) -> Model:
+    """Extreme-value parameters from the best segments of clean texts, then the logistic curve
+    from the evidence that these give."""
+    y, n, best = _figures(rows, model, lambda found, _: max((s.score for s in found), default=0.0))
     clean = best[(y == 0) & (n > 0)]
     if not len(clean) or not (y > 0).any():
         return model
@@ -181,10 +188,11 @@ def _calibrated(rows: DataFrame, model: Model) -> Model:
     rate = 1 / max(over.mean(), 0.05) if len(over) else 1.0
     part = min(max((clean > start).mean(), 1e-4), 0.5)
     scale = -np.log(1 - part) * np.exp(rate * start) / max(n[(y == 0) & (n > 0)].mean(), 1)
-    model = model._replace(rate=float(rate), scale=float(scale))
-    z = np.array([evidence([Segment(0, 0, x) for x in s], k, model) for s, k in zip(scores, n.tolist())])
+    fitted = model._replace(rate=float(rate), scale=float(scale))
+    light = fitted._replace(toxic=np.zeros(0), total=np.zeros(0))  # evidence needs two numbers of it
+    y, n, z = _figures(rows, model, lambda found, words: evidence(found, words, light))
     slope, offset = _logistic(z, (y > 0).astype(float))
-    return model._replace(slope=slope, offset=offset)
+    return fitted._replace(slope=slope, offset=offset)
 
 
 def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
