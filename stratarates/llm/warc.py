@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
@@ -86,9 +86,17 @@ def _record(key, url, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _located(spark: SparkSession, folder: str) -> str:
+    """``folder`` with scheme and host, as Spark's readers resolve it: a path without a scheme lies
+    on the default file system, which on a cluster is not each executor's own disk."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(folder)
 
 
@@ -100,7 +108,7 @@ def write(pages: DataFrame, folder: str, level: int = 6, archive_bytes: int = AR
     that Spark accepted are in the list.
     """
     rows = with_references(pages, **names)
-    folder = folder.rstrip("/")
+    folder = _located(pages.sparkSession, folder.rstrip("/"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _open_folder(folder)
