@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
-from stratarates.llm.places import numbered
 from stratarates.llm.words import chunks
+from stratarates.sources.places import with_places
 
 FAN = 8
 LEVELS = 4
@@ -206,10 +206,12 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tampered: bool =
 
     ``folded_root`` is the root that the row's own leaf, or its ``changed`` one, gives with the
     siblings of its proof; ``verified`` says that it is the root.  A block has ``FAN ** most`` nodes."""
-    rows = leaves(docs, fields, tampered).withColumn("at", F.monotonically_increasing_id())
+    # staged first, since a sort by ranges reads its input twice
+    hashed = scratch.stage(leaves(docs, fields, tampered), "manifest-hashes")
+    rows = hashed.withColumn("at", F.xxhash64("_metadata.file_name", "_metadata.row_index"))
     ordered = scratch.stage(rows.orderBy("tree", F.col("doc_id").asc_nulls_first(), "leaf", "at").drop("at"),
                             "manifest-leaves")
-    placed = numbered(ordered, ["tree"], "place", "size")
+    placed = with_places(ordered, ["tree"], "place", "size")
     nodes = placed.select("tree", "place", F.col("leaf").alias("node"), "size")
     rounds = _rounds(nodes, most)
     subroots = rounds[-1].select("tree", F.col("node").alias("subroot"))
@@ -217,7 +219,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tampered: bool =
     # the trees' subroots are the nodes of one more tree
     whole = scratch.stage(subroots.orderBy("tree").select(F.lit("").alias("tree"), "subroot", F.col("tree").alias("of")),
                           "manifest-subroots")
-    heads = numbered(whole, ["tree"], "place", "size").withColumnRenamed("subroot", "node")
+    heads = with_places(whole, ["tree"], "place", "size").withColumnRenamed("subroot", "node")
     upper = _rounds(heads, most)
     found = upper[-1].select("node").first()
     if found is None:

@@ -7,15 +7,17 @@ _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), la
 _ASCII_LOWER = (f"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 OP3 = """
-WITH t AS (
-    SELECT conv_id, role, text, row_number() OVER (
-        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
-    FROM conversations
+WITH u AS (
+    SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+), t AS (
+    SELECT conv_id, alone, role, text, row_number() OVER (
+        PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM u
 ), c AS (
     SELECT conv_id, count(*) AS n_turns,
            list({'r': role, 't': text} ORDER BY place) AS said,
            string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, ''), chr(10) ORDER BY place) AS text
-    FROM t GROUP BY conv_id
+    FROM t GROUP BY conv_id, alone
 ), e AS (
     SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS copies, any_value(text) AS text FROM c GROUP BY said, n_turns
 ), p AS (
@@ -141,7 +143,7 @@ OP10 = f"""
 WITH d AS (
     SELECT doc_id, {_BARE} AS w FROM documents
 ), b AS (
-    SELECT CAST(item_id AS VARCHAR) AS item_id, {_BARE} AS w FROM benchmark WHERE item_id IS NOT NULL
+    SELECT CAST(item_id AS VARCHAR) AS item_id, {_BARE} AS w FROM benchmark
 ), q AS (
     SELECT DISTINCT item_id, len(w[i:i + 9]) AS n, list_aggregate(w[i:i + 9], 'string_agg', ' ') AS g
     FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
@@ -156,7 +158,7 @@ WITH d AS (
     FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id
 ), items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-    FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
+    FROM (SELECT DISTINCT doc_id, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
-from stratarates.llm.places import numbered
+from stratarates.sources.places import with_places
 
 SHARDS = 16
 FINE = 1024
@@ -134,4 +134,4 @@ def pack(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str =
     both = known.withColumn("link", link).join(others, F.col("link") == F.col("member"), "left").select(
         "doc_id", "size", "text_crc32", "tokens", F.coalesce("shard", "shard_of").alias("shard"))
     dealt = scratch.stage(both.sortWithinPartitions("shard", "doc_id", "text_crc32"), "shard-dealt")
-    return numbered(dealt, ["shard"], "slot", "rows").select("doc_id", "size", "text_crc32", "tokens", "shard", "slot")
+    return with_places(dealt, ["shard"], "slot").select("doc_id", "size", "text_crc32", "tokens", "shard", "slot")

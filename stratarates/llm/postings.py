@@ -9,15 +9,17 @@ the terms may stand up to so many places from where the phrase has them.
 
 A block holds about ``words.CHUNK_BYTES`` of text (or one longer document), so no list
 grows with the corpus: a word that stands in a third of all documents has one list per
-block.  The terms and phrases of the test items are a stated query set.  They are sent to
-the tasks in groups of at most ``GROUP_PHRASES`` phrases, each group searched by a pass of
-its own over the stored index, so what is broadcast has a fixed bound.
+block.  The windows of the test items are cut by Spark and staged as distinct (phrase, item)
+pairs.  They are sent to the tasks in groups of about ``GROUP_PHRASES`` pairs, dealt by hash; each
+group has an index of its terms alone and is searched and written before the next is read,
+so what the driver and a task hold has a fixed bound, and a larger benchmark takes more passes.
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and non-ASCII
 characters.  Null and empty texts have no words and are never hit; an item with fewer
-words than the width is one phrase, one without words none.  Items with a null id are not
-searched for.  Repeated items count once by id, repeated documents each give a row, and a
-document without a hit gives a row with zeros.  An empty benchmark or corpus is fine.
+words than the width is one phrase, one without words none.  Items with a null id are
+searched for, and their words are hit, but they have no name in ``items``.  Repeated items count
+once by id, repeated documents each give a row, and a document without a hit gives a row with
+zeros.  An empty benchmark or corpus is fine.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
 from stratarates.llm.words import ALNUM, Words, chunks
+from stratarates.sources.places import with_file
 
-#: phrases and items held by a task at a time
+#: pairs of a phrase and an item held by a task at a time
 GROUP_PHRASES = 200_000
 _U = np.uint64
 
@@ -49,40 +52,42 @@ class Phrases(NamedTuple):
     ids: list[str]
 
 
-def phrases(items: list[tuple[object, str | None]], width: int) -> Phrases:
-    """The windows of ``width`` words of each item; all words of a shorter one."""
-    found: dict[bytes, set[int]] = {}
+def pairs(benchmark: DataFrame, width: int, item: str = "item_id", text: str = "text") -> DataFrame:
+    """Distinct (phrase, item): the windows of ``width`` words of each item, or all words of a
+    shorter one, as the 64-bit hashes of their words."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            w = Words(chunk.column("text"), ALNUM, lower=True)
+            phrase, owner = [], []
+            for doc, (first, n) in enumerate(zip(w.first.tolist(), w.count.tolist())):
+                h = w.hash[first:first + n]
+                made = [h[at:at + width].tobytes() for at in range(max(1, n - width + 1))] if n else []
+                phrase += made
+                owner += [doc] * len(made)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(phrase, pa.binary()), chunk.column("item").take(pa.array(owner, pa.int64()))],
+                names=["phrase", "item"])
+
+    return rows.mapInArrow(run, "phrase binary, item string").distinct()
+
+
+def gathered(found: pa.Table, width: int) -> Phrases:
+    """The phrases of a group of pairs."""
+    items: dict[bytes, list[int]] = {}
     ids: dict[str, int] = {}
-    for key, text in items:
-        if key is None:
-            continue
-        h = Words(pa.array([text]), ALNUM, lower=True).hash
-        if not len(h):
-            continue
-        me = ids.setdefault(str(key), len(ids))
-        for at in range(max(1, len(h) - width + 1)):
-            found.setdefault(h[at:at + width].tobytes(), set()).add(me)
-    sequences = [np.frombuffer(k, _U) for k in found]
+    for phrase, item in zip(found.column("phrase").to_pylist(), found.column("item").to_pylist()):
+        mine = items.setdefault(phrase, [])
+        if item is not None:
+            mine.append(ids.setdefault(item, len(ids)))
+    sequences = [np.frombuffer(k, _U) for k in items]
     terms = np.unique(np.concatenate(sequences)) if sequences else np.zeros(0, _U)
     of = np.full((len(sequences), width), -1, np.int32)
     for row, h in zip(of, sequences):
         row[:len(h)] = np.searchsorted(terms, h)
     return Phrases(terms, of, np.array([len(h) for h in sequences], np.int32),
-                   [np.array(sorted(v), np.int32) for v in found.values()], list(ids))
-
-
-def groups(items: list[tuple[object, str | None]], width: int) -> list[Phrases]:
-    """Phrases in groups of bounded size; an item's phrases may be spread over groups."""
-    whole = phrases(items, width)
-    out = []
-    for at in range(0, max(1, len(whole.length)), GROUP_PHRASES):
-        of, part = whole.of[at:at + GROUP_PHRASES], whole.items[at:at + GROUP_PHRASES]
-        used = np.unique(of[of >= 0])
-        small = np.where(of >= 0, np.searchsorted(used, of), -1).astype(np.int32)
-        mine = np.unique(np.concatenate(part)) if part else np.zeros(0, np.int32)
-        out.append(Phrases(whole.terms[used], small, whole.length[at:at + GROUP_PHRASES],
-                           [np.searchsorted(mine, p) for p in part], [whole.ids[i] for i in mine]))
-    return out
+                   [np.array(v, np.int32) for v in items.values()], list(ids))
 
 
 INDEX = "block long, kind int, term int, places binary, row binary"
@@ -156,12 +161,13 @@ def _search_block(places: dict[int, np.ndarray], query: Phrases, slop: int) -> l
     return out
 
 
-FOUND = "block long, row long, doc_id long, n_words long, n_hit long, n_items long, items string, spans binary"
+FOUND = ("block long, row long, doc_id long, n_words long, n_hit long, n_items long, items array<string>, "
+         "spans binary")
 
 
 def search(index: DataFrame, query: Phrases, gap: int, slop: int = 0) -> DataFrame:
-    """One row per indexed document: words, hit words, items and their sorted ids joined by
-    commas, and the hit runs as pairs of 32-bit word places (first, last + 1)."""
+    """One row per indexed document: words, hit words, items and their sorted ids, and the hit
+    runs as pairs of 32-bit word places (first, last + 1)."""
     shared = index.sparkSession.sparkContext.broadcast(query)
 
     def run(table: pa.Table) -> pa.Table:
@@ -193,33 +199,33 @@ def search(index: DataFrame, query: Phrases, gap: int, slop: int = 0) -> DataFra
         n_hit, spans, names = [], [], []
         for d in range(len(n_words)):
             if d not in items:
-                n_hit.append(0), spans.append(b""), names.append("")
+                n_hit.append(0), spans.append(b""), names.append([])
                 continue
             mine = hit[begin[d]:begin[d] + n_words[d]].astype(np.int8)
             edges = np.flatnonzero(np.diff(np.r_[0, mine, 0]).astype(bool)).astype(np.uint32)
             n_hit.append(int(mine.sum()))
             spans.append(edges.tobytes())
-            names.append(",".join(sorted(query.ids[i] for i in items[d])))
+            names.append(sorted(query.ids[i] for i in items[d]))
         return pa.table({
             "block": pa.array(np.full(len(n_words), table.column("block")[0].as_py(), np.int64)),
             "row": pa.array(np.arange(len(n_words), dtype=np.int64)),
             "doc_id": pa.array(keys, pa.int64()), "n_words": pa.array(n_words),
             "n_hit": pa.array(n_hit, pa.int64()),
             "n_items": pa.array([len(items.get(d, ())) for d in range(len(n_words))], pa.int64()),
-            "items": pa.array(names, pa.string()), "spans": pa.array(spans, pa.binary()),
+            "items": pa.array(names, pa.list_(pa.string())), "spans": pa.array(spans, pa.binary()),
         })
 
     return index.groupBy("block").applyInArrow(run, FOUND)
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """One row per document from those of several groups of phrases."""
+    """One row per document from those of several groups of phrases, a few thousand at a time."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = {}
         for r in table.to_pylist():
-            old = rows.setdefault(r["row"], r | {"names": set(), "cover": []})
-            old["names"].update(r["items"].split(",") if r["items"] else [])
+            old = rows.setdefault(r["doc_id"], r | {"names": set(), "cover": []})
+            old["names"].update(r["items"])
             old["cover"].append(np.frombuffer(r["spans"], np.uint32).reshape(-1, 2))
         for r in rows.values():
             mark = np.zeros(r["n_words"] + 1, np.int32)
@@ -228,36 +234,34 @@ def _merged(found: DataFrame) -> DataFrame:
                 mark[b] -= 1
             hit = (np.cumsum(mark)[:-1] > 0).astype(np.int8)
             names = sorted(r.pop("names"))
-            r["n_hit"], r["n_items"], r["items"] = int(hit.sum()), len(names), ",".join(names)
+            r["n_hit"], r["n_items"], r["items"] = int(hit.sum()), len(names), names
             r["spans"] = np.flatnonzero(np.diff(np.r_[0, hit, 0])).astype(np.uint32).tobytes()
         return pa.Table.from_pylist(list(rows.values()), schema=table.schema)
 
-    return found.groupBy("block").applyInArrow(run, FOUND)
+    return found.groupBy(F.floor(F.col("doc_id") / 4096)).applyInArrow(run, FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0,
                   key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text") -> DataFrame:
     """``search`` for all phrases of the benchmark in all documents."""
-    queries = benchmark.select(F.col(item).cast("string"), F.col(item_text).cast("string"))
-    parts = groups([tuple(r) for r in queries.toLocalIterator()], width)
+    found = scratch.stage(pairs(benchmark, width, item, item_text), "benchmark-phrases")
+    groups = max(1, -(-found.count() // GROUP_PHRASES))
     gap = width + 2 * slop + 1
-    if len(parts) == 1:
-        return search(build(docs, parts[0].terms, gap, key, text), parts[0], gap, slop)
-    terms = np.unique(np.concatenate([p.terms for p in parts]))
-    index = scratch.stage(build(docs, terms, gap, key, text), "postings")
-    found = []
-    for part in parts:  # a term's place among all terms, for the lists of the index
-        known = {t: i for i, t in enumerate(np.searchsorted(terms, part.terms).tolist())}
-        found.append(search(_renumbered(index, known), part, gap, slop))
-    union = found[0]
-    for other in found[1:]:
-        union = union.unionByName(other)
-    return _merged(union)
-
-
-def _renumbered(index: DataFrame, known: dict[int, int]) -> DataFrame:
-    """The lists of a group's terms, numbered as the group has them."""
-    rows = [(a, b) for a, b in known.items()]
-    names = index.sparkSession.createDataFrame([*rows, (-1, -1)], "term int, mine int")
-    return index.join(names, "term").drop("term").withColumnRenamed("mine", "term")
+
+    def group(number: int) -> Phrases:
+        return gathered(found.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(groups)) == number).toArrow(), width)
+
+    if groups == 1:
+        query = group(0)
+        return search(build(docs, query.terms, gap, key, text), query, gap, slop)
+    # a row's place on disk is its name in all passes
+    rows = scratch.stage(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "corpus")
+    named = with_file(rows, "file", "at").withColumn("place", F.col("file") * F.lit(1 << 40) + F.col("at"))
+    parts = None
+    for number in range(groups):
+        query = group(number)
+        part = scratch.stage(search(build(named, query.terms, gap, "place", "text"), query, gap, slop), "contamination")
+        parts = part if parts is None else parts.unionByName(part)
+    merged = _merged(parts).withColumnRenamed("doc_id", "place")
+    return named.select("place", F.col("key").alias("doc_id")).join(merged, "place").select(*parts.columns)
