@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -65,7 +66,7 @@ def test_trees_decide_on_look_alikes(spark, monkeypatch):
     texts = ["call (443) 555-5793 now", "call +1 (443) 555-5793", "no 12345678"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = lambda: [r["spans"] for r in pii.summary(docs).orderBy("doc_id").collect()]
-    assert found() == ["", "phone:5:22", ""]  # no valid look-alikes to learn from
+    assert found() == ["phone:5:19", "phone:5:22", ""]  # three rows have trees, too
     names = [f.name for f in pii._features(F.struct(*(F.lit("").alias(c) for c in ("s", "before", "after")),
                                                     F.lit(0).alias("start"), F.lit(0).alias("stop")))]
     bracket = boosting.Split(names.index("bracketed"), 0.5, -1.0, 1.0)
@@ -94,6 +95,44 @@ def test_fitted_trees_find_wide_forms(spark):
     assert {t: found[t] for t in others} == dict.fromkeys(others, "")
 
 
+def test_small_tables_have_trees(spark, sf_dir):
+    """Wide forms and look-alikes beside the texts of the smallest table, and with no others."""
+    wanted = {"write to joe (at) example (dot) org soon": "email:9:35", "call (443) 555-5793 now": "phone:5:19",
+              "443-555-5793": "phone:0:12", "4111.1111.1111.1111": "card:0:19"}
+    others = ["at 2024-01-15 10 sharp", "no 4111.1111.1111.1112 here", "a bare 1443555579 is no phone"]
+    made = spark.createDataFrame([(t,) for t in [*wanted, *others]], "text string")
+    for docs in (made, made.union(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))):
+        found = {r["text"]: r["spans"] for r in pii.summary(docs, key="text").collect()}
+        assert {t: found[t] for t in wanted} == wanted
+        assert {t: found[t] for t in others} == dict.fromkeys(others, "")
+
+
+def test_a_long_text_of_numbers(spark):
+    """A megabyte: time must not grow with the square of the matches."""
+    text = "ab 12 x é 1 23456 " * 30_000 + "+1 (443) 555-5793 or me@ex.org " * 15_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = pii.summary(docs).first()
+    assert time.monotonic() - began < 90
+    assert row["base"] == brute_spans(text) and row["n_phone"] == row["n_email"] == 15_000
+    out = pii.redact(docs).first()["text"]
+    assert out == text.replace("+1 (443) 555-5793", "[PHONE]").replace("me@ex.org", "[EMAIL]")
+
+
+def test_redaction_of_overlapping_spans(spark):
+    texts = ["+1 4111 1111 1111 111, 1.2.3.4", "a 1.2.3.4@ex.org b", "x" * 3000 + " me@ex.org " + "é" * 3000 + " 1.2.3.4"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["t"]: r["text"] for r in pii.redact(docs.withColumn("t", F.col("text"))).collect()}
+    for text in texts:
+        at, out = 0, ""
+        for start, stop, kind in sorted((int(a), int(b), k) for k, a, b in
+                                        (x.split(":") for x in brute_spans(text).split(","))):
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, stop)
+        assert got[text] == out + text[at:]
+
+
 def test_trees_are_read_right(spark):
     import numpy as np
 
@@ -193,6 +232,20 @@ def test_prefixes_collapse(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_turns_without_an_id_stand_alone(spark):
+    """A third of all rows has no id; equal ones are one, and prefixes of others go."""
+    rows = [(None, i, "user", f"q{i % 7}") for i in range(300)] + [(None, 0, None, None), (None, 5, "user", "a")]
+    rows += [(k, i, "user", "q3" if k == 1 and i == 0 else f"{k}-{i}") for k in range(100) for i in range(6)]
+    rows += [(200, 0, "user", "a"), (200, 1, "user", "b"), (201, 0, "user", "q5")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = [tuple(r) for r in chat.render(df).collect()]
+    alone = sorted((r for r in got if r[0] is None), key=repr)
+    of = Counter(f"q{i % 7}" for i in range(300))
+    want = [(None, 1, of[f"q{k}"], f"<|user|>\nq{k}") for k in range(7) if k not in (3, 5)] + [(None, 1, 1, "<|user|>\n")]
+    assert alone == sorted(want, key=repr)  # q3 and a begin others
+    assert (201, 1, of["q5"] + 1, "<|user|>\nq5") in got and len(got) == len(want) + 102
+
+
 # --- toxicity -------------------------------------------------------------------------
 
 def test_segments_match_brute_force():
@@ -241,6 +294,17 @@ def test_toxic_texts_score_high(spark):
     assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_a_labelled_key_counts_once(spark):
+    """A third of all rows repeats one labelled key."""
+    rows = [(i, f"word{i % 50} fine words here", int(i % 9 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, t + (" grubling" if y else "")) for i, t, y in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    hot = docs.union(spark.range(300).selectExpr("3L", "concat('word1 zz ', id)")).union(docs.where("doc_id = 3"))
+    one, other = toxicity.fit(docs, labels), toxicity.fit(hot, labels)
+    assert (one.rate, one.scale, one.slope, one.offset) == (other.rate, other.scale, other.slope, other.offset)
+    assert (one.total == other.total).all() and (one.toxic == other.toxic).all()
+
+
 # --- quality --------------------------------------------------------------------------
 
 def brute_figures(text):
@@ -297,6 +361,19 @@ def test_round_trip(spark, tmp_path):
     assert warc.read(warc.write(df.where("false"), str(tmp_path / "e"))).count() == 0
 
 
+def test_folders_lie_where_spark_reads_them(spark):
+    assert warc._located(spark, "/some/where") == "file:/some/where"
+    assert warc._located(spark, "file:///some/where") == "file:/some/where"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store")
+    conf.set("fs.viewfs.mounttable.store.link./in", "file:///tmp")
+    try:
+        assert warc._located(spark, "/in/warc") == "viewfs://store/in/warc"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_damage_is_found(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "<p>text</p>" * 30)], "page_id long, url string, html string")
     path = warc.write(df, str(tmp_path / "w")).first()["path"]
