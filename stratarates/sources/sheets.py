@@ -116,7 +116,8 @@ def body_lines(spark: SparkSession, path: str, skip: int, header: str) -> DataFr
         .when(place == skip, F.when(found == header, False).otherwise(wrong.cast("boolean")))
         .otherwise(place > skip)
     )
-    return lines.join(first, block, "left").where(below).select("line")
+    # a line above the table is no line, so that no filter on parsed rows can meet it first
+    return lines.join(first, block, "left").select(F.when(below, F.col("line")).alias("line")).where("line IS NOT NULL")
 
 
 def mended_headers(headers: Sequence[str]) -> list[str]:

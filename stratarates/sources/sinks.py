@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,3 +111,16 @@ def write_indexed_csv(df: DataFrame, path: str, order_by: Sequence[Column | str]
     )
     dealt = lines.unionByName(tops).repartitionById(parts, F.col("_part").cast("int"))
     dealt.sortWithinPartitions("_row").select("value").write.mode("overwrite").text(path)
+    _end_in_csv(spark, path)
+
+
+def _end_in_csv(spark: SparkSession, path: str) -> None:
+    """Name the part files as CSV.  They are written as plain text, since Spark's CSV writer
+    would quote the lines again; one rename per file."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            system.rename(status.getPath(), context._jvm.org.apache.hadoop.fs.Path(path, name[:-4] + ".csv"))

@@ -158,6 +158,14 @@ def test_one_sheet_of_many_blocks_is_read_by_many_tasks(spark, tmp_path, small_b
     assert rows(df.select("count")) == sorted(((1000 * n + i,) for n in range(2) for i in range(300)), key=repr)
 
 
+def test_filters_do_not_reach_the_preamble(spark, tmp_path):
+    """A filter on a parsed column must not be evaluated on lines that are no rows."""
+    write(tmp_path / "s", "a.csv", "Book 1\nCounts\n" + HEADER + "Site,Females,Actual,2001,25-29,3\n")
+    df = read_sheet(spark, str(tmp_path / "s"), MORTALITY_COUNTS, skip=2)
+    assert rows(df.where("sex = 'Females' AND count > 2").select("count")) == [(3,)]
+    assert df.where("year = 2001").count() == 1
+
+
 def test_a_wrong_header_in_a_later_block_fails(spark, tmp_path, small_blocks):
     text = "a line of the preamble\n" * 9 + "no header\n" + "Site,Females,Actual,2001,25-29,3\n" * 9
     write(tmp_path / "s", "a.csv", text)
@@ -237,7 +245,7 @@ def test_row_index_runs_on_over_files(spark):
 
 
 def part_lines(folder):
-    parts = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
+    parts = sorted(p for p in os.listdir(folder) if p.startswith("part-") and p.endswith(".csv"))
     return [open(os.path.join(folder, p), encoding="utf-8").read().splitlines() for p in parts]
 
 
