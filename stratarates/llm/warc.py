@@ -105,13 +105,15 @@ def write(pages: DataFrame, folder: str, level: int = 6, archive_bytes: int = AR
     """Write archives below ``folder`` and return their list (path, records, bytes).
 
     A task that is run again writes archives of other names; only those of the attempt
-    that Spark accepted are in the list.
+    that Spark accepted are in the list.  Paths have scheme and host, but for local files,
+    which are plain paths.
     """
     rows = with_references(pages, **names)
     folder = _located(pages.sparkSession, folder.rstrip("/"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _open_folder(folder)
+        listed = top if isinstance(system, fs.LocalFileSystem) else folder
         part = TaskContext.get().partitionId()
         sink, name, records, size = None, "", 0, 0
         done = []
@@ -140,7 +142,7 @@ def write(pages: DataFrame, folder: str, level: int = 6, archive_bytes: int = AR
         close()
         if done:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{folder}/{d[0]}" for d in done]),
+                [pa.array([f"{listed}/{d[0]}" for d in done]),
                  pa.array([d[1] for d in done], pa.int64()),
                  pa.array([d[2] for d in done], pa.int64())],
                 names=["path", "records", "bytes"])
