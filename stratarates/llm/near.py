@@ -42,13 +42,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarates.llm import scratch
-from stratarates.llm.words import NOT_SPACE, Words, chunks, mix
+from stratarates.llm.words import NOT_SPACE, Words, chunks, give_back, mix
 
 BUCKETS, MANTISSA = 256, 10
 BAND, BANDS = 7, 36
 DEVIATIONS = 4
 #: members of a band that are ordered in one group
 PART = 4096
+#: rows that a worker computes registers or links of at a time
+PIECE = 1024
 #: shingles of a band's members that a task compares with as many others at a time
 BLOCK = 500_000
 #: stands for a null key meanwhile
@@ -126,7 +128,7 @@ def sets(rows: DataFrame, width: int, full: bool = False, sketch: bool = True) -
     and is null for none; registers or, if ``full``, the sorted hashes are filled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, rows=PIECE):
             found = _sets_of(Words(chunk.column("text"), NOT_SPACE, lower=True), width)
             size = np.array([len(s) for s in found])
             node = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in found]
@@ -145,14 +147,20 @@ def sets(rows: DataFrame, width: int, full: bool = False, sketch: bool = True) -
     return rows.mapInArrow(run, SETS)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Cut batches to ``rows``, since what is computed of registers is many times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
 def bands(nodes: DataFrame) -> DataFrame:
     """(band, number, node): a 64-bit value per band of a node's registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = mix(np.arange(1, BAND + 1, dtype=_U)) | _U(1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             raw = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16)
             part = raw.reshape(-1, BUCKETS)[:, :BAND * BANDS].reshape(-1, BANDS, BAND).astype(_U)
             value = mix(mix((mix(part) * weight).sum(axis=2)) + np.arange(BANDS, dtype=_U))
@@ -194,9 +202,7 @@ def near_threshold(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
             .where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
                     for c in ("r_a", "r_b"))
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
@@ -212,7 +218,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) ->
     both = pairs.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for x, y in zip(batch.column("s_a"), batch.column("s_b")):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
