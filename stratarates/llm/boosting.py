@@ -1,12 +1,14 @@
 """Boosted trees: trained by Spark's GBTClassifier, scored as SQL expressions or arrays.
 
-Training runs on executors over a sample whose size the caller bounds and documents.  The
+Training runs on executors over rows whose number the caller bounds and documents, or over
+distinct rows with weights.  The
 fitted trees (a few hundred numbers) are read off the model's public description, so that
 scoring needs neither an assembled vector nor a model object in the tasks.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -74,12 +76,20 @@ def _parsed(text: str) -> Split | float:
     return node()
 
 
-def fit(rows: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 3) -> Boosted | None:
-    """None if the rows have not both classes."""
+def fit(rows: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 3,
+        weight: str | None = None) -> Boosted | None:
+    """None if the rows have not both classes.  With a ``weight``, a row counts so often, and all
+    rows give split points."""
     if len(rows.groupBy(label).count().where(F.col(label).isin(0, 1)).take(2)) < 2:
         return None
+    numbers = [*features, label, *([weight] if weight else [])]
     vectors = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep").transform(
-        rows.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias(label)))
-    model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, maxDepth=depth,
-                          stepSize=0.3, seed=11, cacheNodeIds=False).fit(vectors.select("__features", label))
+        rows.select(*(F.col(c).cast("double").alias(c) for c in numbers)))
+    learner = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, maxDepth=depth,
+                            stepSize=0.3, seed=11, cacheNodeIds=False)
+    if weight:
+        # Spark takes split points from all rows if these are no more than 10,000 or the bins' square
+        n = rows.count()
+        learner.setParams(weightCol=weight, maxBins=32 if n <= 10_000 else math.isqrt(n - 1) + 1)
+    model = learner.fit(vectors.select("__features", *numbers[len(features):]))
     return Boosted([_parsed(t.toDebugString) for t in model.trees], [float(w) for w in model.treeWeights])

@@ -8,16 +8,19 @@ before it), and is redacted if its score reaches a threshold that was calibrated
 documents: the least threshold at which a share ``PRECISION`` of the accepted are valid.
 
 What the base rules find needs no trees, so these learn what the rules cannot see: the valid
-base spans of at most about ``SAMPLE_TEXTS`` texts picked by hash are rewritten in wide forms
+base spans of all texts are rewritten in wide forms
 (phones without plus sign or country code, cards in other groups, addresses spelt out) and
 stand, in their own context, against look-alikes: candidates that the rules judge invalid,
 broken check digits, dates with an hour, bare digits, prose with "at" and "dot".  Candidates
 that may be either (grouped digits without a plus sign, spelt addresses) are not learnt
-from, only scored.  The threshold is calibrated on such rows of the other half, with a prior: a
+from, only scored.  Every text gives its rows to one of two halves, by hash: one for the trees, one
+for the threshold.  Rows with equal features are one row with a weight, so what is learnt from
+grows with the forms that occur, not with the texts.  The threshold has a prior: a
 score counts as ``PRIOR_ROWS`` rows of which that share is valid, and without any rows the
 threshold is ``PRECISION`` itself.  ``EXAMPLES``, a few made-up sentences, are learnt from
-with every sample, so small and empty tables have trees as well; with few valid spans in a table,
-what is added rests on the examples and the prior.  Scoring is an
+in both halves, so small and empty tables have trees as well; with few valid spans in a table,
+what is added rests on the examples and the prior.  Texts are searched once: their candidates
+are staged, learnt from and scored.  Scoring is an
 expression over the array of a row's candidates, so it covers all texts whole, needs no
 shuffle, and rows need no key: null keys, repeated rows and ties give a row each.
 
@@ -38,7 +41,6 @@ from pyspark.sql import functions as F
 
 from stratarates.llm import boosting, scratch
 
-SAMPLE_TEXTS = 20_000
 PRECISION = 0.99
 #: what a score says by itself weighs like so many calibration rows
 PRIOR_ROWS = 20
@@ -58,7 +60,7 @@ WIDE = {
     "spelt": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?"
              r"[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,}+)++",
 }
-#: made-up sentences with valid spans that every sample holds
+#: made-up sentences with valid spans that both halves hold
 EXAMPLES = (
     "Call me at +1 (443) 555-0142 before noon.", "My phone: +1 (212) 555-0187, ask for Ann",
     "tel +44 20 7946 0958", "Reach the office on +49 30 5550 1234 or by mail.", "fax=+33 1 5550 0199;",
@@ -251,24 +253,25 @@ def _lessons(wide: DataFrame) -> DataFrame:
         "fold", "r.label", "r.c")
 
 
-def _fitted(docs: DataFrame, text: str, texts: int) -> tuple[boosting.Boosted, float]:
-    """Trees and calibrated threshold, learnt on halves of a sample of ``texts`` texts and on
+def _forms(wide: DataFrame) -> DataFrame:
+    """(fold, label, features, n): the lessons in ``wide``, equal ones counted."""
+    features = _features(F.col("c"))
+    lessons = _lessons(wide).select("fold", "label", *(f.of.alias(f.name) for f in features))
+    return lessons.groupBy(*lessons.columns).agg(F.count("*").alias("n"))
+
+
+def _fitted(wide: DataFrame) -> tuple[boosting.Boosted, float]:
+    """Trees and calibrated threshold, learnt on the halves (column ``fold``) of all texts and on
     ``EXAMPLES`` in both."""
-    rows = docs.count()
-    picked = docs.select(F.col(text).cast("string").alias("t"))
-    h = F.abs(F.xxhash64("t") % 1_000_000)
-    if rows > texts:
-        picked = picked.where(h < int(1_000_000 * texts / rows))
-    picked = picked.withColumn("fold", F.abs(F.xxhash64("t", F.lit(1)) % 2).cast("int"))
-    written = docs.sparkSession.range(2).select(
-        F.explode(F.array(*map(F.lit, EXAMPLES))).alias("t"), F.col("id").cast("int").alias("fold"))
+    written = _searched(wide.sparkSession.range(2).select(
+        F.explode(F.array(*map(F.lit, EXAMPLES))).alias("t"), F.col("id").cast("int").alias("fold")), "t", ["fold"])
+    found = wide.select("fold", *(f"__{k}" for k in (*KINDS, *WIDE)))
+    rows = scratch.stage(_forms(found.unionByName(written)), "pii-forms")
     names = [f.name for f in _features(F.col("c"))]
-    rows = scratch.stage(_lessons(_candidates(_base(picked.unionByName(written), "t"))).select(
-        "fold", "label", *(f.of.alias(f.name) for f in _features(F.col("c")))), "pii-sample")
-    trees = boosting.fit(rows.where("fold = 0"), names, "label", trees=20, depth=5)
+    trees = boosting.fit(rows.where("fold = 0"), names, "label", trees=20, depth=5, weight="n")
     scored = rows.where("fold = 1").select(
-        "label", (F.floor(trees.expression([F.col(n) for n in names]) * 1000) / 1000).alias("score"))
-    curve = scored.groupBy("score").agg(F.sum("label").alias("valid"), F.count("*").alias("n"))
+        "label", "n", (F.floor(trees.expression([F.col(n) for n in names]) * 1000) / 1000).alias("score"))
+    curve = scored.groupBy("score").agg(F.sum(F.col("label") * F.col("n")).alias("valid"), F.sum("n").alias("n"))
     best, valid, n = PRECISION, 0, 0
     for r in curve.orderBy(F.desc("score")).collect():  # at most 1,001 rows: scores have three decimals
         valid, n = valid + r["valid"], n + r["n"]
@@ -289,11 +292,16 @@ def _text_of(found: Column) -> Column:
         ":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def detect(docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """``docs`` with ``base`` and ``found``: sorted arrays of struct<k, start, stop>, k being
-    the place in ``KINDS``; columns that bear these names are replaced."""
-    trees, least = _fitted(docs, text, sample_texts)
-    wide = _candidates(_base(docs, text))
+def _searched(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` of ``docs``, the valid base spans of each kind and all wide candidates."""
+    return _candidates(_base(docs, text)).select(*kept, *(f"__{k}" for k in (*KINDS, *WIDE)))
+
+
+def _spans(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` of ``docs`` with ``base`` and ``found``."""
+    halves = docs.withColumn("__fold", F.abs(F.xxhash64(F.col(text).cast("string"), F.lit(1)) % 2).cast("int"))
+    wide = scratch.stage(_searched(halves, text, [*kept, "__fold"]), "pii-candidates")
+    trees, least = _fitted(wide.withColumn("fold", F.col("__fold")))
     base = wide.withColumn("base", F.array_sort(F.concat(*(_named(k, f"__{k}") for k in KINDS))))
 
     def kind(c: Column) -> Column:
@@ -316,13 +324,19 @@ def detect(docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS
     # a number and a spelt address overlap only if the number lies within the address
     apart = F.filter("__more_number", lambda c: ~_overlaps(c, "__more_spelt"))
     out = out.withColumn("found", F.array_sort(F.concat("base", "__more_spelt", apart)))
-    return out.select(*(c for c in docs.columns if c not in ("base", "found")), "base", "found")
+    return out.select(*kept, "base", "found")
+
+
+def detect(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``base`` and ``found``: sorted arrays of struct<k, start, stop>, k being
+    the place in ``KINDS``; columns that bear these names are replaced."""
+    return _spans(docs, text, [c for c in docs.columns if c not in ("base", "found")])
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets, e.g. [EMAIL].
     Spans of different kinds that overlap become one, named by the first."""
-    found = detect(docs, text, **options)
+    found = detect(docs, text)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     by_start = F.array_sort(F.transform("found", lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), s["k"].alias("k"))))
@@ -352,11 +366,10 @@ def _of_kind(place: int) -> Column:
     return F.filter("base", lambda s: s["k"] == place)
 
 
-def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def summary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base, spans): counts and lists of base spans and
     the list of all spans."""
-    found = detect(docs.select(key, text), text, **options)
-    return found.select(
+    return _spans(docs, text, [key]).select(
         key,
         *(F.size(_of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)),
         _text_of(F.col("base")).alias("base"), _text_of(F.col("found")).alias("spans"))

@@ -107,6 +107,31 @@ def test_small_tables_have_trees(spark, sf_dir):
         assert {t: found[t] for t in others} == dict.fromkeys(others, "")
 
 
+def test_trees_learn_from_all_texts(spark, monkeypatch):
+    """More texts than were once sampled: every one of its half is counted, as is every row that calibrates."""
+    seen, fit = [], boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda rows, *a, **k: seen.append(rows) or fit(rows, *a, **k))
+    text = F.concat(F.lit("call +1 (443) 555-0142 or id"), F.col("id"))
+    for rows in (0, 30_000):
+        docs = spark.range(rows).select("id", text.alias("text"))
+        assert pii.summary(docs, key="id").where("n_phone = 1").count() == rows
+    none, some = (r.select(F.expr("sum(if(label = 1, n, 0))")).first()[0] for r in seen)
+    half = docs.where(F.abs(F.xxhash64("text", F.lit(1)) % 2) == 0).count()
+    forms = {f"call {f} or" for f in ("1 (443) 555-0142", "(443) 555-0142", "443-555-0142", "443.555.0142", "443 555 0142")}
+    assert some - none == half * len(forms)
+
+
+def test_trees_of_weighted_rows(spark):
+    """A row of weight n counts like n rows, and more than 10,000 distinct ones all give split points."""
+    rows = spark.range(12_000).select(F.col("id").cast("double").alias("x"), (F.col("id") == 11_999).cast("int").alias("y"),
+                                      F.lit(1).alias("n"))
+    trees = boosting.fit(rows, ["x"], "y", trees=3, weight="n")
+    assert {s.feature for s in trees.trees if isinstance(s, boosting.Split)} == {0}
+    few = spark.createDataFrame([(0.0, 0, 3), (0.0, 1, 1), (1.0, 1, 2)], "x double, y int, n int")
+    many = few.select("x", "y", F.explode(F.sequence(F.lit(1), "n")).alias("n"))
+    assert boosting.fit(few, ["x"], "y", weight="n").trees[0] == boosting.fit(many, ["x"], "y").trees[0]
+
+
 def test_a_long_text_of_numbers(spark):
     """A megabyte: time must not grow with the square of the matches."""
     text = "ab 12 x é 1 23456 " * 30_000 + "+1 (443) 555-5793 or me@ex.org " * 15_000
