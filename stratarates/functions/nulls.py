@@ -8,7 +8,7 @@ must always be true or false.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,12 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once per row, however often ``body`` uses it.  Columns are
+    formulas: without this, formulas that use others several times grow by powers."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strict_sum(c: Column | str) -> Column:
     """Sum that is NULL if any input is NULL, and 0 over no rows."""
     if isinstance(c, str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratarates.functions.nulls import as_col
+from stratarates.functions.nulls import as_col, once
 
 EN_DASH = "–"
 # An en dash whose UTF-8 bytes were read as Windows-1252.
@@ -47,35 +47,52 @@ def round_half_even(c: Column | str, digits: int) -> Column:
     """
     if not 0 <= digits <= 12:
         raise ValueError("digits must be between 0 and 12")
-    x = as_col(c).cast("double")
-    size = F.abs(x)
-    # one bit more than needed, should the logarithm be off at a power of two
-    shift = (F.lit(53) - F.floor(F.log2(size))).cast("int")
-    mantissa = (size * F.pow(F.lit(2.0), shift.cast("double"))).cast("bigint")
-
     def power(bits: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits).cast("decimal(19,0)")
 
-    divisor = power(F.least(shift, F.lit(60))) * power(F.greatest(shift - 60, F.lit(0)))
-    scaled = mantissa.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(19,0)")
-    quotient = F.call_function("div", scaled, divisor)
-    twice = (scaled % divisor) * F.lit(2).cast("decimal(1,0)")
-    up = (twice > divisor) | ((twice == divisor) & (quotient % 2 == 1))
-    rounded = (quotient + up.cast("int")).cast("double") / 10.0**digits
-    return (
-        # from there on doubles lie further apart than the decimals: x is the nearest
-        F.when(F.isnan(x) | (size >= 2.0**53 / 10**digits), size)
-        .when(size < 0.25 / 10**digits, F.lit(0.0))
-        .otherwise(rounded)
-    ) * F.signum(x)
+    def fraction(size: Column, shift: Column) -> Column:
+        mantissa = (size * F.pow(F.lit(2.0), shift.cast("double"))).cast("bigint")
+        divisor = power(F.least(shift, F.lit(60))) * power(F.greatest(shift - 60, F.lit(0)))
+        scaled = mantissa.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(19,0)")
+        return F.struct(scaled.alias("scaled"), divisor.alias("divisor"))
+
+    def divided(f: Column) -> Column:
+        return F.struct(
+            F.call_function("div", f["scaled"], f["divisor"]).alias("quotient"),
+            ((f["scaled"] % f["divisor"]) * F.lit(2).cast("decimal(1,0)")).alias("twice"),
+            f["divisor"].alias("divisor"),
+        )
+
+    def nearer(d: Column) -> Column:
+        up = (d["twice"] > d["divisor"]) | ((d["twice"] == d["divisor"]) & (d["quotient"] % 2 == 1))
+        return (d["quotient"] + up.cast("int")).cast("double") / 10.0**digits
+
+    def rounded(size: Column) -> Column:
+        # one bit more than needed, should the logarithm be off at a power of two
+        shift = (F.lit(53) - F.floor(F.log2(size))).cast("int")
+        parts = once(shift, lambda s: fraction(size, s))
+        return once(once(parts, divided), nearer)
+
+    def signed(x: Column) -> Column:
+        size = F.abs(x)
+        return (
+            # from there on doubles lie further apart than the decimals: x is the nearest
+            F.when(F.isnan(x) | (size >= 2.0**53 / 10**digits), size)
+            .when(size < 0.25 / 10**digits, F.lit(0.0))
+            .otherwise(rounded(size))
+        ) * F.signum(x)
+
+    return once(as_col(c).cast("double"), signed)
 
 
 def fixed_decimals(c: Column | str, digits: int) -> Column:
     """Rounded number with exactly ``digits`` decimals; NULL stays NULL."""
-    rounded = round_half_even(c, digits)
     # adding 0.0 turns -0.0 into 0.0, so no label reads "-0.00"
-    return F.when(
-        rounded.isNotNull(), F.format_string(f"%.{digits}f", rounded + F.lit(0.0))
+    return once(
+        round_half_even(c, digits),
+        lambda rounded: F.when(
+            rounded.isNotNull(), F.format_string(f"%.{digits}f", rounded + F.lit(0.0))
+        ),
     )
 
 

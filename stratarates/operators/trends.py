@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratarates.functions.nulls import as_col, is_in, to_number
+from stratarates.functions.nulls import as_col, is_in, once, to_number
 from stratarates.functions.text import (
     before,
     drop_trailing_star,
@@ -80,16 +80,19 @@ def change_points(df: DataFrame, change_point: str, column: str, label: str) ->
 
 
 def _number(aapc: Column | str) -> Column:
-    return to_number(drop_trailing_star(aapc))
+    return once(drop_trailing_star(aapc), to_number)
 
 
 def aapc_label(aapc: Column | str) -> Column:
     """``APC=-1.20*``: two decimals, a trailing space in place of a missing star,
     a space after ``=`` unless a minus sign stands there."""
-    number = fixed_decimals(_number(aapc), 2)
     end = F.when(has_star(aapc), "*").otherwise(" ")
-    start = F.when(number.contains("-"), "APC=").otherwise("APC= ")
-    return F.concat(start, number, end)
+
+    def label(number: Column) -> Column:
+        start = F.when(number.contains("-"), "APC=").otherwise("APC= ")
+        return F.concat(start, number, end)
+
+    return once(fixed_decimals(_number(aapc), 2), label)
 
 
 def with_padded_aapc_label(df: DataFrame, aapc: str = "AAPC", into: str = "label") -> DataFrame:

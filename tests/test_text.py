@@ -111,6 +111,14 @@ def test_short_aapc_label(labels):
     assert got == ["-1.2 *", "0.5  ", "10  ", None]
 
 
+def test_labels_make_each_step_once(spark, labels):
+    """Formulas that repeat others grow by powers, and so does the time of a row."""
+    made = [labels.select(aapc_label("AAPC").alias("v")), labels.select(aapc_label_short("AAPC").alias("v")),
+            labels.select(fixed_decimals(F.col("AAPC").cast("double"), 2).alias("v"))]
+    for df in made:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LOG2(") == 1
+
+
 def test_years_as_a_range(spark):
     df = spark.sql(
         "SELECT * FROM VALUES (timestamp_ntz'1995-12-31 23:59:59'), (timestamp_ntz'1996-01-01'),"
