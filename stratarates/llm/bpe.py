@@ -30,9 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stratarates.llm.words import trim
+
 LEAF_BYTES = 6
-#: pieces remembered by each Python worker, twice; longer pieces are never kept
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+#: pieces remembered by each Python worker, twice; longer pieces are never kept.  Two workers with
+#: what they remember must fit beside an executor's heap that earlier stages have filled
+CACHE_PIECES, CACHE_CHARS, CACHE_PARTS = 100_000, 48, 1 << 16
 _NONE = 1 << 62
 
 
@@ -89,7 +92,7 @@ class Codec:
         self.all_pieces = regex.compile(wide).findall
         self.bmp_pieces = re.compile(_plain_classes(pattern)).findall
         self.compatible = lru_cache(1 << 16)(self._compatible)
-        self.short = lru_cache(1 << 17)(self._merge)  # halves and seams recur far more than words
+        self.short = lru_cache(CACHE_PARTS)(self._merge)  # halves and seams recur far more than words
         self.known = _Pieces(self)
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -226,6 +229,7 @@ def _map(df: DataFrame, source: str, outputs: list[tuple[str, T.DataType]],
                 made = each(part.column(source))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made],
                                                  names=[*names, *(n for n, _ in outputs)])
+            trim()
 
     return df.mapInArrow(run, schema)
 

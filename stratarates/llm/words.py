@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _U = np.uint64
 
 
@@ -78,6 +78,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
             stop = min(max(stop, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+        trim()
     give_back()
 
 
@@ -85,10 +86,15 @@ def give_back() -> None:
     """Free what a worker keeps between tasks, and let the allocators return unused pages: an
     idle worker stays alive for a while beside those of the next stage."""
     _powers.clear()
+    trim()
+
+
+def trim() -> None:
+    """Let the allocators return unused pages."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    of_libc = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if of_libc is not None:
+        of_libc(0)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +146,7 @@ class Words:
         return self._hash
 
     def slice_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges in ascending order of ``start``, a megabyte at a time."""
+        """Hashes of byte ranges in ascending order of ``start``, a quarter megabyte at a time."""
         out = np.empty(len(start), _U)
         at = 0
         while at < len(start):

@@ -442,3 +442,26 @@ def test_table_of_texts(documents, no_documents, codecs):
         assert bytes(r["decoded"]).decode() == text
         assert bpe.unpack(bytes(r["ids"])) == codecs[1].encode_ordinary(text) and r["n_tokens"] * 4 == len(r["ids"])
     assert bpe.encode(no_documents, ranks, pattern).count() == 0
+
+
+# --- memory of workers ----------------------------------------------------------------
+
+def test_workers_stay_small():
+    """What a worker remembers of pieces, and what hashing two megabytes of words takes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from stratarates.llm import words
+
+    codec = bpe.Codec(*vocabulary())
+    for i in range(0, 250_000, 1000):
+        codec.encode(" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{k}" for k in range(i, i + 1000)))
+    assert len(codec.known) + len(codec.known.older) <= 200_000 and codec.short.cache_info().currsize <= 1 << 16
+    column = pa.array(["the quick brown fox " * 100] * 1000)
+    words.give_back()
+    tracemalloc.start()
+    words.Words(column).hash
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
