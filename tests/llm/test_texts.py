@@ -464,4 +464,4 @@ def test_workers_stay_small():
     words.Words(column).hash
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 60 << 20
+    assert peak < 40 << 20
