@@ -5,7 +5,9 @@ lowest ranks, and neighbours are joined.  A joined sequence is right exactly if
 adjacent tokens are what the bytes of the two encode to.  Each side holds already, so a
 join looks at the seam only: if the seam's pair holds, the tokens are concatenated,
 otherwise a window around it is encoded anew and widened until its outer pairs hold too.
-Then no token outside the window can change.  Decoding concatenates up the same tree.
+Then no token outside the window can change.  The first window is the seam's pair itself, and
+what two tokens encode to is remembered, so most joins merge no bytes.  Decoding concatenates
+up the same tree.
 
 Nulls count as empty, empty texts give no ids, and texts of any length are encoded whole:
 joins touch seams only, so a piece without any break costs O(n log n).  Every input row
@@ -91,8 +93,8 @@ class Codec:
         wide = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.all_pieces = regex.compile(wide).findall
         self.bmp_pieces = re.compile(_plain_classes(pattern)).findall
-        self.compatible = lru_cache(1 << 16)(self._compatible)
-        self.short = lru_cache(CACHE_PARTS)(self._merge)  # halves and seams recur far more than words
+        self.seam = lru_cache(1 << 16)(self._seam)
+        self.short = lru_cache(CACHE_PARTS)(self._merge)  # halves recur far more than words
         self.known = _Pieces(self)
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -113,22 +115,29 @@ class Codec:
                 ranks[at - 1] = pair(ids[at - 1] * size + best, _NONE)
         return ids
 
-    def _compatible(self, left: int, right: int) -> bool:
-        return self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
+    def _seam(self, left: int, right: int) -> tuple[int, ...] | None:
+        """What the bytes of two tokens encode to, None if to just these."""
+        ids = self._merge(self.tokens[left] + self.tokens[right])
+        return None if ids == [left, right] else tuple(ids)
 
     def _join(self, a: list[int], b: list[int]) -> list[int]:
-        if not a or not b or self.compatible(a[-1], b[0]):
+        if not a or not b:
             return a + b
-        reach = 2
+        seam = self.seam
+        middle = seam(a[-1], b[0])
+        if middle is None:
+            return a + b
+        reach = 1
         while True:
             left, right = max(0, len(a) - reach), min(len(b), reach)
-            window = b"".join(self.tokens[t] for t in a[left:] + b[:right])
-            middle = self.short(window) if len(window) <= 32 else self._merge_wide(window)
-            if (left == 0 or self.compatible(a[left - 1], middle[0])) and (
-                right == len(b) or self.compatible(middle[-1], b[right])
+            if (left == 0 or seam(a[left - 1], middle[0]) is None) and (
+                right == len(b) or seam(middle[-1], b[right]) is None
             ):
-                return a[:left] + middle + b[right:]
+                return [*a[:left], *middle, *b[right:]]
             reach *= 2
+            left, right = max(0, len(a) - reach), min(len(b), reach)
+            window = b"".join([self.tokens[t] for t in a[left:] + b[:right]])
+            middle = self._merge(window) if len(window) <= 32 else self._merge_wide(window)
 
     def _merge_wide(self, piece: bytes) -> list[int]:
         """The same merges from a heap, for windows that had to grow far."""
@@ -169,7 +178,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        find = self.bmp_pieces if not text or max(text) < "\U00010000" else self.all_pieces
+        # a character beyond the BMP takes two units of UTF-16
+        bmp = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        find = self.bmp_pieces if bmp else self.all_pieces
         return b"".join(map(self.known.__getitem__, find(text)))
 
     def decode(self, packed: bytes) -> bytes:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratarates.llm import boosting, bpe, chat, lines, pages, pii, toxicity, warc
-from stratarates.llm.queries import vocabulary
+from stratarates.llm.queries import QUERIES, vocabulary
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -444,6 +444,28 @@ def test_table_of_texts(documents, no_documents, codecs):
     assert bpe.encode(no_documents, ranks, pattern).count() == 0
 
 
+def test_joins_merge_few_bytes(codecs):
+    """Most seams are known from their two tokens: no bytes around them are merged anew."""
+    pick, merged = random.Random(5), []
+
+    class Counted(bpe.Codec):
+        def _merge(self, piece):
+            merged.append(len(piece))
+            return super()._merge(piece)
+
+    counted = Counted(*vocabulary())
+    syllables = "the in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha".split()
+    text = " ".join("".join(pick.choice(syllables) for _ in range(pick.randint(2, 7))) for _ in range(20_000))
+    assert bpe.unpack(counted.encode(text)) == codecs[1].encode_ordinary(text)
+    assert sum(merged) < 1.1 * len(text)
+
+
+def test_query_makes_one_pass(spark, sf_dir):
+    """Texts are encoded and decoded by the same workers."""
+    plan = QUERIES["op9_bpe"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # --- memory of workers ----------------------------------------------------------------
 
 def test_workers_stay_small():
