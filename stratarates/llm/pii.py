@@ -139,10 +139,9 @@ _WORTH = {"email": "instr(__t, '@') > 0", "ip": "__d AND instr(__t, '.') > 0", "
           "spelt": r"__t rlike r'(?i)(?:\(at\)|\[at\]|\x20at\x20)'"}
 
 
-def _base(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with arrays of the valid spans of each kind and of all wide candidates."""
-    out = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    out = out.withColumn("__d", F.expr("__t rlike '[0-9]'"))
+def _base(docs: DataFrame) -> DataFrame:
+    """``docs`` with arrays of the valid spans of each kind and of all wide candidates of ``__t``."""
+    out = docs.withColumn("__d", F.expr("__t rlike '[0-9]'"))
     out = out.withColumns({f"__{k}": spans("__t", p, _WORTH[k]) for k, p in (PATTERNS | WIDE).items()})
     return out.withColumns({f"__{k}": _only_valid(k) for k in KINDS[1:]})
 
@@ -249,8 +248,8 @@ def _lessons(wide: DataFrame) -> DataFrame:
 
     found = F.transform(F.filter(F.concat("__number", "__spelt"), lambda c: ~c["known"] & _refused(c)), lambda c: F.struct(
         F.lit(0).alias("label"), F.struct(*(c[k].alias(k) for k in ("start", "stop", "s", "before", "after"))).alias("c")))
-    return wide.select("fold", F.explode(F.concat(found, *map(made, ("email", "card", "phone")))).alias("r")).select(
-        "fold", "r.label", "r.c")
+    return wide.select(F.col("__fold").alias("fold"), F.explode(F.concat(found, *map(made, ("email", "card", "phone")))).alias(
+        "r")).select("fold", "r.label", "r.c")
 
 
 def _forms(wide: DataFrame) -> DataFrame:
@@ -261,13 +260,9 @@ def _forms(wide: DataFrame) -> DataFrame:
 
 
 def _fitted(wide: DataFrame) -> tuple[boosting.Boosted, float]:
-    """Trees and calibrated threshold, learnt on the halves (column ``fold``) of all texts and on
-    ``EXAMPLES`` in both."""
-    written = _searched(wide.sparkSession.range(2).select(
-        F.explode(F.array(*map(F.lit, EXAMPLES))).alias("t"), F.col("id").cast("int").alias("fold")), "t", ["fold"])
-    found = wide.select("fold", *(f"__{k}" for k in (*KINDS, *WIDE)))
-    rows = scratch.stage(_forms(found.unionByName(written)), "pii-forms")
-    names = [f.name for f in _features(F.col("c"))]
+    """Trees and calibrated threshold, learnt on the halves (column ``__fold``) of all texts, ``EXAMPLES`` among them."""
+    rows = scratch.stage(_forms(wide), "pii-forms")
+    names = [c for c in rows.columns if c not in ("fold", "label", "n")]
     trees = boosting.fit(rows.where("fold = 0"), names, "label", trees=20, depth=5, weight="n")
     scored = rows.where("fold = 1").select(
         "label", "n", (F.floor(trees.expression([F.col(n) for n in names]) * 1000) / 1000).alias("score"))
@@ -293,15 +288,22 @@ def _text_of(found: Column) -> Column:
 
 
 def _searched(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
-    """Columns ``kept`` of ``docs``, the valid base spans of each kind and all wide candidates."""
-    return _candidates(_base(docs, text)).select(*kept, *(f"__{k}" for k in (*KINDS, *WIDE)))
+    """Columns ``kept`` of ``docs``, the valid base spans of each kind and all wide candidates; ``__fold`` is a
+    text's half.  Rows of ``EXAMPLES``, one in each half, are ``__made``: one plan searches them and the texts."""
+    whole = F.col(text).cast("string")
+    halves = docs.select(*kept, F.coalesce(whole, F.lit("")).alias("__t"), F.lit(False).alias("__made"),
+                         F.abs(F.xxhash64(whole, F.lit(1)) % 2).cast("int").alias("__fold"))
+    made = docs.sparkSession.range(0, 2, 1, 1).select(F.explode(F.array(*map(F.lit, EXAMPLES))).alias("__t"),
+                                                      F.lit(True).alias("__made"), F.col("id").cast("int").alias("__fold"))
+    return _candidates(_base(halves.unionByName(made, allowMissingColumns=True))).select(
+        *kept, "__made", "__fold", *(f"__{k}" for k in (*KINDS, *WIDE)))
 
 
 def _spans(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
     """Columns ``kept`` of ``docs`` with ``base`` and ``found``."""
-    halves = docs.withColumn("__fold", F.abs(F.xxhash64(F.col(text).cast("string"), F.lit(1)) % 2).cast("int"))
-    wide = scratch.stage(_searched(halves, text, [*kept, "__fold"]), "pii-candidates")
-    trees, least = _fitted(wide.withColumn("fold", F.col("__fold")))
+    wide = scratch.stage(_searched(docs, text, kept), "pii-candidates")
+    trees, least = _fitted(wide)
+    wide = wide.where("NOT __made")
     base = wide.withColumn("base", F.array_sort(F.concat(*(_named(k, f"__{k}") for k in KINDS))))
 
     def kind(c: Column) -> Column:
@@ -310,17 +312,15 @@ def _spans(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
             (n > 15) | F.call_function("luhn_check", _digits(c["s"])), 2).otherwise(3))
             .when(c["s"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).otherwise(3))
 
-    def added(of: str) -> Column:
-        # features are made once per candidate, not once per split
-        scored = F.transform(F.filter(of, lambda c: ~c["known"]), lambda c: F.struct(
-            kind(c).alias("k"), c["start"].alias("start"), c["stop"].alias("stop"),
-            F.array(*(f.of for f in _features(c))).alias("of")))
-        n = len(_features(F.element_at(of, 1)))
-        return F.transform(
-            F.filter(scored, lambda c: trees.expression([c["of"][i] for i in range(n)]) >= F.lit(least)),
-            lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["stop"].alias("stop")))
-
-    out = base.withColumns({f"__more_{k}": added(f"__{k}") for k in WIDE})
+    # features are made once per candidate, not once per split
+    scored = F.transform(F.filter(F.concat(*(f"__{k}" for k in WIDE)), lambda c: ~c["known"]), lambda c: F.struct(
+        kind(c).alias("k"), c["start"].alias("start"), c["stop"].alias("stop"),
+        F.array(*(f.of for f in _features(c))).alias("of")))
+    added = F.transform(F.filter(scored, lambda c: trees.expression(c["of"]) >= F.lit(least)), lambda c: F.struct(
+        *(c[k].alias(k) for k in ("k", "start", "stop"))))
+    # only spelt candidates hold an "at": what is an address is spelt
+    out = base.withColumn("__more", added).withColumns(
+        {"__more_spelt": F.filter("__more", lambda c: c["k"] == 0), "__more_number": F.filter("__more", lambda c: c["k"] != 0)})
     # a number and a spelt address overlap only if the number lies within the address
     apart = F.filter("__more_number", lambda c: ~_overlaps(c, "__more_spelt"))
     out = out.withColumn("found", F.array_sort(F.concat("base", "__more_spelt", apart)))

@@ -173,6 +173,44 @@ def test_trees_are_read_right(spark):
     assert boosting.fit(df.where("y = 1"), ["a", "b"], "y") is None
 
 
+def test_scoring_plans_do_not_grow_with_trees(spark):
+    """The driver holds plans several times: trees enter them as arrays, one branch walks through all nodes."""
+    import numpy as np
+
+    pick = random.Random(3)
+
+    def tree(depth):
+        if not depth or pick.random() < 0.1:
+            return pick.uniform(-1, 1)
+        return boosting.Split(pick.randrange(2), pick.random(), tree(depth - 1), tree(depth - 1))
+
+    rows = [(i, pick.random(), pick.random()) for i in range(200)] + [(200, 0.5, float("nan"))]
+    df = spark.createDataFrame(rows, "i int, a double, b double")
+    for trees in (boosting.Boosted([tree(5) for _ in range(20)], [1.0] + [0.3] * 19), boosting.Boosted([0.25], [1.0])):
+        for of in ([F.col("a"), F.col("b")], F.array("a", "b")):
+            scored = df.select("i", trees.expression(of).alias("p"))
+            got = dict(scored.collect())
+            assert np.allclose([got[r[0]] for r in rows], trees.probability(np.array([r[1:] for r in rows])), rtol=1e-12, atol=0)
+            assert scored._jdf.queryExecution().analyzed().toString().count("CASE") == 1
+
+
+def test_personal_data_makes_each_plan_once(spark, monkeypatch):
+    """Texts and examples are searched by one plan; candidates' features are written once to learn and once to score."""
+    made = {"_candidates": 0, "_features": 0}
+
+    def counted(name, of):
+        def run(*args):
+            made[name] += 1
+            return of(*args)
+        return run
+
+    for name in made:
+        monkeypatch.setattr(pii, name, counted(name, getattr(pii, name)))
+    docs = spark.createDataFrame([(1, "call (443) 555-5793 now"), (None, None)], "id long, text string")
+    assert sorted(r["spans"] for r in pii.summary(docs, key="id").collect()) == ["", "phone:5:19"]
+    assert made["_candidates"] == 1 and made["_features"] == 2
+
+
 def test_redaction(spark, documents, no_documents):
     out = pii.redact(documents)
     assert out.columns == documents.columns
